@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules, substring_dedup
+from . import decontaminate, quality_rules, substring_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,6 +34,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_substring_dedup, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op4_quality_rules, op6_substring_dedup, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
