@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, mixing, quality_rules, substring_dedup, token_output, url_filters
+from . import decontaminate, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, token_output, url_filters
 from .oracles import ORACLE_SQL
 
 
@@ -35,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -48,9 +53,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    may_learn = _table(spark, sf_dir, "labels").where(~language_id.held_out()).select("doc_id", "quality")
+    got = quality_classifier.score(documents, quality_classifier.train(may_learn, documents))
+    return got.select("doc_id", language_id.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_output, op2_minhash_dedup, op3_mixing, op4_quality_rules, op6_substring_dedup, op7_url_filters, op9_decontamination)
+    for f in (op1_token_output, op2_minhash_dedup, op3_mixing, op4_quality_rules, op5_language_id, op6_substring_dedup, op7_url_filters, op9_decontamination, op10_quality_classifier)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
