@@ -105,3 +105,23 @@ def op4_base(text):
             rep.update(range(i, i + 3))
     n = len(w)
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(rep), n < 50 or 100 * len(rep) > 50 * n
+
+
+def op8(docs, templates, window=8, stride=4, least=0.8):
+    """Every window of every text against every template, without bands; the same places and neighbourhoods."""
+    word = re.compile(r"[^\W_]+")
+    pairs = lambda w: {(a, b) for a, b in zip(w, w[1:])}  # noqa: B905, E731
+    forms = {k: word.findall(v.lower()) for k, v in templates.items()}
+    out = []
+    for d, t in docs:
+        w, found = word.findall((t or "").lower()), {}
+        for at in range(1, max(len(w) - 1, 1) + 1, stride):
+            own = pairs(w[at - 1 : at - 1 + window])
+            for k, f in forms.items():
+                if own & pairs(f):
+                    lo, n = max(1, at - len(f)), window + 2 * len(f)
+                    share = len(pairs(f) & pairs(w[lo - 1 : lo - 1 + n])) / len(pairs(f))
+                    if share >= least:
+                        found[k] = max(found.get(k, 0), share)
+        out.append((d, len(found), ",".join(sorted(found)), max(found.values(), default=0.0)))
+    return sorted(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, token_output, url_filters
+from . import decontaminate, language_id, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, token_output, url_filters
 from .oracles import ORACLE_SQL
 
 
@@ -49,6 +49,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"), rules).drop("bound")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +66,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_output, op2_minhash_dedup, op3_mixing, op4_quality_rules, op5_language_id, op6_substring_dedup, op7_url_filters, op9_decontamination, op10_quality_classifier)
+    for f in (op1_token_output, op2_minhash_dedup, op3_mixing, op4_quality_rules, op5_language_id, op6_substring_dedup, op7_url_filters, op8_license_scan, op9_decontamination, op10_quality_classifier)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
