@@ -152,3 +152,11 @@ def as_long(h: np.ndarray) -> pa.Array:
 def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     """One list per text from a flat array and how many of it belong to each."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def smallest(g: np.ndarray, width: int) -> np.ndarray:
+    """For each place, the smallest of the `width` values from it on (fewer at the end)."""
+    best = g.copy()
+    for j in range(1, min(width, len(g))):
+        np.minimum(best[: len(g) - j], g[j:], out=best[: len(g) - j])
+    return best

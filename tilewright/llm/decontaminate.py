@@ -36,11 +36,7 @@ _HITS = "row long, {id} {kind}, n_words long, spans array<struct<fp:long,start:i
 
 def _selected(h: np.ndarray) -> np.ndarray:
     """For each word, the fingerprint of the eight words from it on."""
-    g = _text.grams(h, GRAM)
-    best = g.copy()
-    for j in range(1, SPAN - GRAM + 1):
-        np.minimum(best[: len(g) - j], g[j:], out=best[: len(g) - j])
-    return best
+    return _text.smallest(_text.grams(h, GRAM), SPAN - GRAM + 1)
 
 
 def _short(h: np.ndarray, n: int) -> np.ndarray:

@@ -8,18 +8,19 @@ where something repeats:
    equal anchors. Anchors are counted over documents; those in one document alone cannot
    carry a repeated window. Identical texts count once, through their smallest id.
 2. *Edges.* A window that holds a repeated anchor is an edge between its first and last k-1
-   words. Edges are grouped by two independent 64-bit hashes; those of two documents or more
+   words. Edges are grouped by the 64-bit hashes of both nodes; those of two documents or more
    stay, with their first place: the smallest document and the smallest position in it.
 3. *Compaction.* An edge joins its successor where the node between them has one edge in and
    one out, and the successor's first place is the next word of the same document. Chains of
    such edges become paths: (document, position, edges).
-4. *Verification.* Each path's words are read again at its first place and, by source
-   coordinates, at every place that copies it; a span is removed only if the digests of the
-   words agree.
+4. *Verification.* Every later place of an edge carries its own and its source's coordinates;
+   places that go forward together in both documents form the verified spans that are removed.
+   Edges are equal only if both node hashes, of twelve words each, are.
 
 Defined results: a null or empty text has no words; texts of fewer than k words lose
 nothing. Rows with equal ids are one document for the rule (no window of one covers the
-other), yet each row gives its own result. Null ids sort last and count as one document.
+other), yet each row, even of another text, gives its own result. Null ids sort last and count
+as one document.
 """
 
 from __future__ import annotations
@@ -43,11 +44,7 @@ BROADCAST_IDS = 2_000_000
 
 def _anchors(h: np.ndarray, k: int, anchor: int) -> np.ndarray:
     """For each word, the smallest anchor hash of the k words from it on."""
-    g = _text.grams(h, anchor)
-    best = g.copy()
-    for j in range(1, k - anchor + 1):
-        np.minimum(best[: len(g) - j], g[j:], out=best[: len(g) - j])
-    return best
+    return _text.smallest(_text.grams(h, anchor), k - anchor + 1)
 
 
 def _anchor_rows(k: int, anchor: int):
@@ -79,14 +76,49 @@ def _window_rows(shared, k: int, anchor: int):
                 at = at[_bloom.passes(bloom, _anchors(h, k, anchor)[at])]
                 node = _text.grams(h, k - 1, 2)
                 owner = np.searchsorted(w.first, at, "right") - 1
+                own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(t.lo, t.hi - t.lo).take(pa.array(owner)), pa.array(at - w.first[owner], pa.int32()), _text.as_long(node[at]), _text.as_long(node[at + 1] if len(at) else node[:0])],
-                    ["id", "pos", "node_in", "node_out"],
+                    [
+                        *[batch.column(c).slice(t.lo, t.hi - t.lo).take(own) for c in (0, 2)],
+                        pa.array(at - w.first[owner], pa.int32()),
+                        _text.as_long(node[at]),
+                        _text.as_long(node[at + 1] if len(at) else node[:0]),
+                    ],
+                    ["id", "tid", "pos", "node_in", "node_out"],
                 )
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tid, list of pos, src, src_pos) to runs that go forward together in both documents."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat = lists.flatten()
+        pos, src_pos = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "src_pos"))
+        src = flat.field("src")
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        code = src.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((pos, pos - src_pos, code, owner))
+        o, p, shift, c = owner[order], pos[order], (pos - src_pos)[order], code[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (o[1:] != o[:-1]) | (c[1:] != c[:-1]) | (shift[1:] != shift[:-1]) | (p[1:] > p[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(order))[: len(first)] - 1
+        own = pa.array(o[first])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(own),
+                batch.column(1).take(own),
+                pa.array(p[first], pa.int32()),
+                pa.array(p[last] - p[first] + 1, pa.int32()),
+                src.take(pa.array(order[first])),
+                pa.array(p[first] - shift[first], pa.int32()),
+            ],
+            ["id", "tid", "start", "length", "src", "src_start"],
+        )
+
+
 def _cut(k: int, name: str):
     """Remove covered words: (id, text, spans, copy) to the digest columns and the kept text."""
 
@@ -125,22 +157,22 @@ def _cut(k: int, name: str):
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, copies, paths).
 
-    spans: id, start, length (windows), src, src_start: runs of windows that also start, in
-    the same order, in the smaller document `src`. copies: ids of texts identical to a
-    smaller document's. paths: src, src_start, length (edges) of compacted repeated paths.
+    spans: id, tid (hash of the text), start, length (windows), src, src_start: runs of windows that also start, in
+    the same order, in the smaller document `src`. copies: id and tid of texts identical
+    to a smaller document's. paths: src, src_start, length (edges) of compacted repeated paths.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    prints = docs.select("id", F.md5("text").alias("digest"))
+    kind = documents.schema[id_col].dataType.simpleString()
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid")).where(F.col("text").isNotNull())
+    prints = docs.select("id", "tid", F.md5("text").alias("digest"))
     groups = prints.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"), F.count("id").alias("known"))
     groups = groups.where((F.col("n") > 1) & F.col("least").isNotNull() & ((F.col("most") > F.col("least")) | (F.col("known") < F.col("n"))))
     later = F.col("id").isNull() | (F.col("id") > F.col("least"))
-    copies = materialize(prints.join(groups, "digest").where(later).select("id").distinct(), "copies")
+    copies = materialize(prints.join(groups, "digest").where(later).select("id", "tid").distinct(), "copies")
     n = copies.count()
-    same = F.broadcast(copies) if n <= BROADCAST_IDS else copies
-    # a row leaves only if it is itself a later copy; ids are compared null-safe
-    singles = docs.join(same.withColumnRenamed("id", "copy_id"), F.col("id").eqNullSafe(F.col("copy_id")), "left_anti") if n else docs
-    kind = documents.schema[id_col].dataType.simpleString()
+    same = copies.toDF("copy_id", "copy_tid")
+    same = F.broadcast(same) if n <= BROADCAST_IDS else same
+    singles = docs.join(same, F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("tid") == F.col("copy_tid")), "left_anti") if n else docs
 
     rows = singles.mapInArrow(_anchor_rows(k, anchor), f"id {kind}, anchor long")
     counted = rows.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("unknown"))
@@ -149,7 +181,7 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     del rows, counted
     release(spark)
 
-    windows = materialize(singles.mapInArrow(_window_rows(shared, k, anchor), f"id {kind}, pos int, node_in long, node_out long"), "windows")
+    windows = materialize(singles.select("id", "text", "tid").mapInArrow(_window_rows(shared, k, anchor), f"id {kind}, tid long, pos int, node_in long, node_out long"), "windows")
     drop(repeated)
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "pos"))
     edges = windows.groupBy("node_in", "node_out").agg(first.alias("first"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("unknown"))
@@ -168,15 +200,13 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     along = W.partitionBy("src").orderBy("src_pos").rowsBetween(W.unboundedPreceding, 0)
     chained = joined.withColumn("path", F.max(F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.col("src_pos"))).over(along)).select("node_in", "node_out", "src", "src_pos", "path")
     chained = materialize(chained, "chained_edges")
+    drop(edges)
+    release(spark)
     paths = chained.groupBy("src", "path").agg(F.count("*").alias("length")).withColumnRenamed("path", "src_start")
 
     hit = windows.join(chained, ["node_in", "node_out"]).where(F.col("id").isNull() | (F.col("id") > F.col("src")))
-    hit = hit.select("id", "pos", "src", "src_pos")
-    by = W.partitionBy("id", "src", F.col("pos") - F.col("src_pos")).orderBy("pos")
-    # rows of one document with equal ids may repeat a position; runs go by distinct positions
-    run = F.col("pos") - F.dense_rank().over(by)
-    spans = hit.withColumn("run", run).groupBy("id", "src", (F.col("pos") - F.col("src_pos")).alias("shift"), "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("length"))
-    spans = materialize(spans.select("id", "start", "length", "src", (F.col("start") - F.col("shift")).alias("src_start")), "spans")
+    places = hit.groupBy("id", "tid").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("places"))
+    spans = materialize(places.mapInArrow(_runs, f"id {kind}, tid long, start int, length int, src {kind}, src_start int"), "spans")
     drop(windows)
     release(spark)
     return spans, copies, paths
@@ -185,10 +215,10 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR) -> DataFrame:
     """One row per document row: id, n_words, n_removed, kept_sha256, kept_text."""
     spans, copies, _ = repeated_spans(documents, id_col, text_col, k, anchor)
-    todo = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.lit(False).alias("copy"))
-    todo = todo.unionByName(copies.select("id", F.lit(None).cast(todo.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
-    todo = todo.withColumnRenamed("id", "todo_id")
+    todo = spans.groupBy("id", "tid").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.lit(False).alias("copy"))
+    todo = todo.unionByName(copies.select("id", "tid", F.lit(None).cast(todo.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
+    todo = todo.toDF("todo_id", "todo_tid", "spans", "copy")
     kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(id_col), F.col(text_col).alias("text"))
-    got = docs.join(todo, docs[id_col].eqNullSafe(todo["todo_id"]), "left").select(id_col, "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    docs = documents.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid"))
+    got = docs.join(todo, docs[id_col].eqNullSafe(todo["todo_id"]) & (docs["tid"] == todo["todo_tid"]), "left").select(id_col, "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     return got.mapInArrow(_cut(k, id_col), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
