@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,3 +46,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def without(documents: DataFrame, ids: DataFrame, id_col: str, most: int = 2_000_000) -> DataFrame:
+    """`documents` less the rows whose id is in `ids`: by broadcast up to `most` ids (counted), else by a shuffled join."""
+    gone = ids.toDF("_gone").distinct()
+    side = F.broadcast(gone) if gone.count() <= most else gone
+    return documents.join(side, documents[id_col] == side["_gone"], "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bloom, _text
-from ._store import materialize
+from ._store import materialize, without
 
 SPAN, GRAM = 8, 5
 #: Benchmark windows that may be broadcast (about 100 bytes each); more are joined by shuffle.
@@ -107,7 +107,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return flat.where(F.col("key").isNotNull()).groupBy("fp", "window").agg(F.array_sort(F.collect_set("key")).alias("items"))
 
 
-def spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", benchmark_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
+def spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", benchmark_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, with_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with row, id and n_words; matched spans with row, start, len, window and items)."""
     windows = materialize(benchmark_windows(benchmark, item_col, benchmark_text), "benchmark_windows")
     lengths = F.size(F.split("window", " "))
@@ -117,7 +117,7 @@ def spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = documents.select(F.col(id_col), F.col(text_col))
     shared = documents.sparkSession.sparkContext.broadcast(_bloom.build(windows, "fp", _bloom.size_for(2 * total)))
     seen = materialize(docs.mapInArrow(_candidates(shared, short, id_col), _HITS.format(id=f"`{id_col}`", kind=kind)), "document_spans")
-    found = seen.where(F.size("spans") > 0).select("row", F.inline("spans"))
+    found = seen.where(F.size("spans") > 0).select("row", *[id_col] * with_ids, F.inline("spans"))
     right = F.broadcast(windows) if total <= broadcast_windows else windows
     return seen.select("row", id_col, "n_words"), found.join(right, ["fp", "window"])
 
@@ -143,3 +143,9 @@ def digest(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", *
     got = decontaminate(documents, benchmark, id_col, **kw)
     n = F.size("items").cast("long")
     return got.select(id_col, "n_words", "n_hit", n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """The rows, with all their columns, that share no window with any item."""
+    _, hits = spans(documents, benchmark, id_col, with_ids=True, **kw)
+    return without(documents, materialize(hits.select(id_col), "contaminated"), id_col)

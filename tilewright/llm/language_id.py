@@ -186,3 +186,18 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Learn from the rows that are not held out, predict all: id, held_out, lang_pred, score."""
     model = prototypes(documents.where(~held_out(id_col)), id_col, text_col, lang_col)
     return predict(documents, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(documents: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least_score: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose text has a language with at least `least_score`; one pass, no shuffle."""
+    shared, place = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        assign = _assign(shared, "i")
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], ["i", "t"])
+            for got in assign([own]):
+                ok = (got.column("score").to_numpy() >= least_score) & np.array([x != UNKNOWN for x in got.column("lang_pred").to_pylist()], bool)
+                yield batch.take(got.column("i").filter(pa.array(ok)))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _bloom, _text
 from ._components import components
-from ._store import drop, materialize, release
+from ._store import drop, materialize, release, without
 
 SHINGLE, BINS, ROWS = 5, 160, 4
 #: Similarity as a fraction.
@@ -243,3 +243,9 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return of_row.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
     )
+
+
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are the smallest id of their class."""
+    found = materialize(classes(documents, id_col, text_col).where("not kept").select(id_col), "near_duplicates")
+    return without(documents, found, id_col)

@@ -93,3 +93,15 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     got = got.withColumn("before", before).withColumn("rounds", rounds).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("words"))
     taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("rest") - F.col("before"), F.col("size")))
     return got.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows, with all their columns, as often as the mix takes them.
+
+    Documents stay whole: of each shard at most one is taken in part, and its share is rounded.
+    Rows that repeat an id are taken equally often.
+    """
+    got = mix(documents, id_col, text_col, source_col, seed).where("size > 0").groupBy(F.col(id_col).alias("_id"))
+    copies = materialize(got.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0"), "copies")
+    rows = documents.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
+    return rows.select(*documents.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*documents.columns)
