@@ -13,8 +13,8 @@ more; a document's class is its connected component.
    paired with the others: a bucket of n makes n - 1 candidates. Candidates are confirmed on
    their full sets, and components are formed.
 4. *The rest.* A bucket that still holds several components may hide a link that no star had.
-   Its members go through an exact prefix-filter join: with shingles ordered by (seen once
-   first, hash), two linked sets share one among their first n - overlap + 1. Members of one
+   Its members go through an exact prefix-filter join: with shingles ordered by rarity
+   classes and hash, two linked sets share one among their first n - overlap + 1. Members of one
    component are not paired again. So no pair that meets in a bucket is lost, and pairs are not
    expanded within groups.
 
@@ -39,6 +39,8 @@ from ._store import drop, materialize, release, without
 SHINGLE, BINS, ROWS = 5, 160, 4
 #: Similarity as a fraction.
 NUM, DEN = 75, 100
+#: Shingles are ordered by how many of these numbers of documents they reach, the rarest first.
+FREQUENT = (2, 4, 16, 128)
 #: Ids of documents with candidates that may be broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -155,14 +157,15 @@ def _prefixes(shared):
     """(rep, component, shingles) to the tokens of the prefix that others may have, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
+        blooms = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 s = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
                 n = len(s)
-                common = s[_bloom.passes(bloom, s)]
-                once = n - len(common)
-                some = common[: max(0, n - -(-NUM * n // DEN) + 1 - once)]
+                rank = sum(_bloom.passes(b, s).astype(np.int8) for b in blooms)
+                order = np.lexsort((s, rank))
+                once = int((rank == 0).sum())
+                some = s[order[once : n - -(-NUM * n // DEN) + 1]]
                 if len(some):
                     row = pa.array(np.zeros(len(some), np.int64))
                     yield pa.RecordBatch.from_arrays(
@@ -177,9 +180,10 @@ def _rest(members: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
     """Links between components among `members` (rep, component), by an exact prefix-filter join."""
     spark = members.sparkSession
     full = materialize(members.join(sets, "rep").select("rep", "component", "shingles"), "unresolved")
-    repeated = full.select("shingles").mapInArrow(_tokens, "token long").groupBy("token").count().where("count > 1")
-    repeated = materialize(repeated.select("token"), "repeated_shingles")
-    shared = spark.sparkContext.broadcast(_bloom.build(repeated, "token", _bloom.size_for(repeated.count())))
+    repeated = full.select("shingles").mapInArrow(_tokens, "token long").groupBy("token").count()
+    repeated = materialize(repeated.where(F.col("count") >= FREQUENT[0]), "repeated_shingles")
+    sizes = repeated.agg(*[F.coalesce(F.sum((F.col("count") >= k).cast("int")), F.lit(0)) for k in FREQUENT]).first()
+    shared = spark.sparkContext.broadcast([_bloom.build(repeated.where(F.col("count") >= k), "token", _bloom.size_for(n)) for k, n in zip(FREQUENT, sizes, strict=True)])
     rows = materialize(full.mapInArrow(_prefixes(shared), f"rep {kind}, component {kind}, n long, place long, token long"), "prefixes")
     x, y = rows.alias("x"), rows.alias("y")
     overlap = F.ceil(F.lit(NUM) * (F.col("x.n") + F.col("y.n")) / F.lit(NUM + DEN))
