@@ -10,7 +10,7 @@ Blocks go to sources by highest quotients target / (2k + 1), then to the shards
 likewise by the shards' words. The winners are found without listing all quotients: with n
 claimants and N seats, a claimant's seats lie between those at the levels total / (N - n/2) and
 total / (N + n/2), so about 2n quotients are ranked, however many blocks there are. A shard
-(at most about 50,000 documents, by a hash of the id) lays its documents end to end in a seeded
+(about 5,000 documents at most, by a hash of the id) lays its documents end to end in a seeded
 order and takes its blocks from the front, wholly round as often as they reach: no document
 exceeds `max_repeats` times its size. Only DataFrame operations; the largest sort group is one
 shard, so a hot source is many groups.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._store import materialize
 
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix-1"
-SHARD_DOCS, BLOCK_WORDS = 50_000, 1024
+SHARD_DOCS, BLOCK_WORDS = 5_000, 1024
 
 
 def word_count(text: str) -> Column:

@@ -26,7 +26,7 @@ WITH sizes AS (
 ), w1 AS (
   SELECT idx, count(*) AS won FROM (SELECT idx, row_number() OVER (ORDER BY q DESC, idx) AS place FROM q1) JOIN (SELECT max(seats) AS n FROM s5) ON place <= n GROUP BY idx
 ), s6 AS (
-  SELECT s5.*, coalesce(won, 0) AS source_blocks, ceil(docs / 50000)::BIGINT AS shards FROM s5 LEFT JOIN w1 USING (idx)
+  SELECT s5.*, coalesce(won, 0) AS source_blocks, ceil(docs / 5000)::BIGINT AS shards FROM s5 LEFT JOIN w1 USING (idx)
 ), dealt AS (
   SELECT d.doc_id, d.size, s6.*, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM sizes d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
 ), dealt2 AS (
