@@ -38,6 +38,7 @@ STATISTICS = {
 }
 #: Squared distance beyond which a document is rejected: seven deviations, far out for five Gaussian statistics (0.9999: 25.7).
 CUTOFF, MIN_GROUP, STEPS = 49.0, 200, 4
+BROADCAST_GROUPS = 50_000
 
 
 def _statistics(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -132,16 +133,20 @@ def estimates(rows: DataFrame, min_group: int = MIN_GROUP, steps: int = STEPS) -
     long = rows.where("n_words > 0").select(*_NAMES, F.explode(F.array(*map(F.expr, _LEVELS))).alias("g"))
     sizes = rows.where("n_words > 0").select(F.explode(F.array(*map(F.expr, _LEVELS))).alias("g")).groupBy("g").count()
     sizes = materialize(sizes.where((F.col("count") >= min_group) | (F.col("g.level") == 0)).withColumnRenamed("count", "n"), "groups")
+    # one row a group: up to so many, the rows of a hot group stay where they are
+    few = sizes.count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else (lambda df: df)
+    long = long.join(small(sizes.select("g")), "g", "left_semi")
     middle = long.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in _NAMES])
-    spread = long.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"d_{c}") for c in _NAMES])
+    spread = long.join(small(middle), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"d_{c}") for c in _NAMES])
     start = middle.join(spread, "g").join(sizes, "g")
     diagonal = [F.pow(F.col(f"d_{a}") * 1.4826, F.lit(2)) if a == b else F.lit(0.0) for a, b in _PAIRS]
     model = start.select("g", "n", F.array(*[F.col(f"m_{c}").cast("double") for c in _NAMES]).alias("centre"), F.array(*diagonal).alias("scatter"))
     model = materialize(model.mapInArrow(_inverted, _MODEL), "mcd_start")
     for step in range(steps):
-        near = long.join(model, "g").withColumn("d", _distance())
+        near = long.join(small(model), "g").withColumn("d", _distance())
         half = near.groupBy("g").agg(F.percentile_approx("d", 0.5, 1000).alias("half"))
-        kept = near.join(half, "g").where("d <= half")
+        kept = near.join(small(half), "g").where("d <= half")
         # the half with the smallest distances understates the scatter of five Gaussian statistics by this factor
         scatter = F.array(*[F.covar_pop(a, b) * 2.08 for a, b in _PAIRS])
         model = kept.groupBy("g").agg(F.first("n").alias("n"), F.array(*[F.avg(c) for c in _NAMES]).alias("centre"), scatter.alias("scatter"))
@@ -153,10 +158,11 @@ def judge(documents: DataFrame, id_col: str = "doc_id", cutoff: float = CUTOFF,
     """One row per document row: id, counts, base_failed, distance (null without words), kept."""
     rows = materialize(statistics(documents, id_col, **columns), "statistics")
     model = estimates(rows, min_group, steps)
+    few = model.count() <= BROADCAST_GROUPS
     for level, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
         known = model.where(F.col("g.level") == level).select(*[F.col(f"g.{k}").alias(f"k{level}_{k}") for k in keys], F.struct("centre", "inverse").alias(f"model{level}"))
         on = [rows[k].eqNullSafe(known[f"k{level}_{k}"]) for k in keys]
-        got = (rows if level == 2 else got).join(known, on, "left") if keys else got.join(F.broadcast(known), F.lit(True), "left")  # noqa: F821  one row at level 0
+        got = (rows if level == 2 else got).join(F.broadcast(known) if few else known, on, "left") if keys else got.join(F.broadcast(known), F.lit(True), "left")  # noqa: F821  one row at level 0
     got = got.withColumn("model", F.coalesce("model2", "model1", "model0")).select("*", F.col("model.centre").alias("centre"), F.col("model.inverse").alias("inverse"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     got = got.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), _distance().alias("distance"))
