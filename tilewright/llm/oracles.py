@@ -66,20 +66,16 @@ WITH parts AS (
   SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (rv = 'block')::DOUBLE AS bad,
     array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
   FROM verdicts GROUP BY host
-), l1 AS (
-  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS m FROM hosts GROUP BY suffix
-), k1 AS (
-  SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l1
-), r1 AS (SELECT suffix, (bad + k*m) / (n + k) AS m FROM l1, k1),
+), t AS (SELECT sum(n) AS N0, sum(bad) AS Y0 FROM hosts),
+l1 AS (SELECT *, (Y0 - bad + 0.5) / (N0 - n + 1) AS m FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix), t),
+k1 AS (SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l1),
 l2 AS (
-  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(r1.m) AS m FROM hosts JOIN r1 USING (suffix) GROUP BY domain, suffix
-), k2 AS (
-  SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l2
-), r2 AS (SELECT domain, (bad + k*m) / (n + k) AS m FROM l2, k2),
-l3 AS (SELECT host, n, bad, r2.m FROM hosts JOIN r2 USING (domain)),
-k3 AS (
-  SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l3
-), r3 AS (SELECT host, (bad + k*m) / (n + k) AS rate, n + k AS size FROM l3, k3)
+  SELECT d.domain, d.n, d.bad, (l1.bad - d.bad + k * l1.m) / (l1.n - d.n + k) AS m
+  FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix) d JOIN l1 USING (suffix), k1
+), k2 AS (SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l2),
+l3 AS (SELECT h.host, h.n, h.bad, (l2.bad - h.bad + k * l2.m) / (l2.n - h.n + k) AS m FROM hosts h JOIN l2 USING (domain), k2),
+k3 AS (SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l3),
+r3 AS (SELECT host, (bad + k * m) / (n + k) AS rate, n + k AS size FROM l3, k3)
 SELECT page_id, host, path, rule,
   coalesce(rv, CASE WHEN rate - 2.0 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM verdicts JOIN r3 USING (host)

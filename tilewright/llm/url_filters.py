@@ -3,9 +3,9 @@
 A rule is a host and a path prefix; it fits that host and its subdomains, and the longest
 fitting rule decides. A page that no rule fits is judged by its host. Outcomes are labelled
 pages: bad is 1 where the labels (in the registered query: the rules) block the page. Beta-binomial
-priors shrink each host's rate to its registered domain's, that to its suffix's, and that to the
-rate of all pages. The strength of each prior is estimated from the data: with m the parent's
-rate, excess dispersion rho = (sum (y - n m)^2 - sum n m (1-m)) / sum n (n-1) m (1-m), kept
+priors shrink each host's rate to that of the other hosts of its registered domain, these to the
+other domains of its suffix, and those to all other pages: no page counts twice. The strength of
+each prior is estimated from the data: with m a group's prior rate, excess dispersion rho = (sum (y - n m)^2 - sum n m (1-m)) / sum n (n-1) m (1-m), kept
 within [0.001, 0.5], and strength 1/rho - 1. A page is blocked if the posterior mean less two
 posterior deviations of its host exceeds one half: only a host that is surely bad is lost.
 
@@ -63,15 +63,20 @@ def domains(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Colum
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _shrunk(groups: DataFrame, parent: str) -> DataFrame:
-    """Adds rate: each group's posterior mean under a prior around `parent`, and strength."""
-    m, n, y = F.col(parent), F.col("n"), F.col("bad")
+def _with_prior(groups: DataFrame, whole: tuple[Column, Column], above: Column, strength: Column | None) -> DataFrame:
+    """Adds m, the rate of a group's siblings (`whole` less its own pages) shrunk to `above`, and strength,
+    that of a prior about m for groups at this level."""
+    n, y = F.col("n"), F.col("bad")
+    if strength is None:
+        m = (whole[1] - y + 0.5) / (whole[0] - n + 1)
+    else:
+        m = (whole[1] - y + strength * above) / (whole[0] - n + strength)
+    groups = materialize(groups.withColumn("m", m), "priors")
+    m = F.col("m")
     var = m * (1 - m)
     rho = groups.agg(F.sum((y - n * m) * (y - n * m)).alias("s"), F.sum(n * var).alias("e"), F.sum(n * (n - 1) * var).alias("d"))
     rho = rho.select(F.coalesce(F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.when(F.col("d") > 0, (F.col("s") - F.col("e")) / F.col("d")))), F.lit(0.5)).alias("rho"))
-    strength = rho.select((1 / F.col("rho") - 1).alias("strength"))
-    both = groups.join(F.broadcast(strength), F.lit(True), "left")  # one row
-    return both.withColumn("rate", (y + F.col("strength") * m) / (n + F.col("strength")))
+    return groups.join(F.broadcast(rho.select((1 / F.col("rho") - 1).alias("strength"))), F.lit(True), "left")  # one row
 
 
 def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
@@ -80,12 +85,15 @@ def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFram
     hosts = outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
     hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     add = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("rate0"))
-    by_suffix = _shrunk(materialize(add(hosts, "suffix").join(F.broadcast(top), F.lit(True), "left"), "suffixes"), "rate0").select("suffix", F.col("rate").alias("rate1"))
-    by_domain = _shrunk(materialize(add(hosts, "domain", "suffix").join(by_suffix, "suffix"), "domains"), "rate1").select("domain", F.col("rate").alias("rate2"))
-    own = _shrunk(materialize(hosts.join(by_domain, "domain"), "host_priors"), "rate2")
-    size = F.col("n") + F.col("strength")
-    bound = F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (size + 1))
+    up = lambda df, *keys: df.select(*keys, F.col("n").alias("all_n"), F.col("bad").alias("all_bad"), F.col("m").alias("above"), F.col("strength").alias("above_strength"))
+    whole, above, k = (F.col("all_n"), F.col("all_bad")), F.col("above"), F.col("above_strength")
+    top = hosts.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+    by_suffix = _with_prior(add(hosts, "suffix").join(F.broadcast(top), F.lit(True), "left").select("suffix", "n", "bad", "all_n", "all_bad"), whole, above, None)
+    by_domain = _with_prior(add(hosts, "domain", "suffix").join(up(by_suffix, "suffix"), "suffix"), whole, above, k)
+    own = _with_prior(hosts.drop("suffix").join(up(by_domain, "domain"), "domain"), whole, above, k)
+    rate = (F.col("bad") + F.col("strength") * F.col("m")) / (F.col("n") + F.col("strength"))
+    own = own.select("host", "n", rate.alias("rate"), "strength")
+    bound = F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
     return own.select("host", "n", "rate", "strength", bound.alias("bound"))
 
 
