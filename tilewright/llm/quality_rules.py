@@ -159,11 +159,14 @@ def judge(documents: DataFrame, id_col: str = "doc_id", cutoff: float = CUTOFF,
     rows = materialize(statistics(documents, id_col, **columns), "statistics")
     model = estimates(rows, min_group, steps)
     few = model.count() <= BROADCAST_GROUPS
-    for level, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
+    got = rows
+    for level, keys in ((2, ["lang", "source"]), (1, ["lang"])):
         known = model.where(F.col("g.level") == level).select(*[F.col(f"g.{k}").alias(f"k{level}_{k}") for k in keys], F.struct("centre", "inverse").alias(f"model{level}"))
-        on = [rows[k].eqNullSafe(known[f"k{level}_{k}"]) for k in keys]
-        got = (rows if level == 2 else got).join(F.broadcast(known) if few else known, on, "left") if keys else got.join(F.broadcast(known), F.lit(True), "left")  # noqa: F821  one row at level 0
-    got = got.withColumn("model", F.coalesce("model2", "model1", "model0")).select("*", F.col("model.centre").alias("centre"), F.col("model.inverse").alias("inverse"))
+        got = got.join(F.broadcast(known) if few else known, [got[k].eqNullSafe(known[f"k{level}_{k}"]) for k in keys], "left")
+    every = model.where(F.col("g.level") == 0).first()  # one row
+    fall = [F.array(*map(F.lit, every[c])) if every else F.lit(None).cast("array<double>") for c in ("centre", "inverse")]
+    got = got.withColumn("model", F.coalesce("model2", "model1", F.struct(fall[0].alias("centre"), fall[1].alias("inverse"))))
+    got = got.select("*", F.col("model.centre").alias("centre"), F.col("model.inverse").alias("inverse"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     got = got.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), _distance().alias("distance"))
     return got.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))

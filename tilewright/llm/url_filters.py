@@ -63,20 +63,16 @@ def domains(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Colum
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _with_prior(groups: DataFrame, whole: tuple[Column, Column], above: Column, strength: Column | None) -> DataFrame:
-    """Adds m, the rate of a group's siblings (`whole` less its own pages) shrunk to `above`, and strength,
-    that of a prior about m for groups at this level."""
+def _with_prior(groups: DataFrame, above: Column | float, strength: float) -> tuple[DataFrame, float]:
+    """Adds m, the rate of a group's siblings (all_n, all_bad less its own) shrunk to `above` with `strength`;
+    and finds the strength that a prior about m has for groups at this level: one number."""
     n, y = F.col("n"), F.col("bad")
-    if strength is None:
-        m = (whole[1] - y + 0.5) / (whole[0] - n + 1)
-    else:
-        m = (whole[1] - y + strength * above) / (whole[0] - n + strength)
-    groups = materialize(groups.withColumn("m", m), "priors")
+    groups = materialize(groups.withColumn("m", (F.col("all_bad") - y + strength * above) / (F.col("all_n") - n + strength)), "priors")
     m = F.col("m")
     var = m * (1 - m)
-    rho = groups.agg(F.sum((y - n * m) * (y - n * m)).alias("s"), F.sum(n * var).alias("e"), F.sum(n * (n - 1) * var).alias("d"))
-    rho = rho.select(F.coalesce(F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.when(F.col("d") > 0, (F.col("s") - F.col("e")) / F.col("d")))), F.lit(0.5)).alias("rho"))
-    return groups.join(F.broadcast(rho.select((1 / F.col("rho") - 1).alias("strength"))), F.lit(True), "left")  # one row
+    r = groups.agg(F.sum((y - n * m) * (y - n * m)), F.sum(n * var), F.sum(n * (n - 1) * var)).first()
+    rho = min(0.5, max(0.001, (r[0] - r[1]) / r[2])) if r[2] else 0.5
+    return groups, 1 / rho - 1
 
 
 def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
@@ -85,15 +81,15 @@ def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFram
     hosts = outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
     hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     add = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    up = lambda df, *keys: df.select(*keys, F.col("n").alias("all_n"), F.col("bad").alias("all_bad"), F.col("m").alias("above"), F.col("strength").alias("above_strength"))
-    whole, above, k = (F.col("all_n"), F.col("all_bad")), F.col("above"), F.col("above_strength")
-    top = hosts.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-    by_suffix = _with_prior(add(hosts, "suffix").join(F.broadcast(top), F.lit(True), "left").select("suffix", "n", "bad", "all_n", "all_bad"), whole, above, None)
-    by_domain = _with_prior(add(hosts, "domain", "suffix").join(up(by_suffix, "suffix"), "suffix"), whole, above, k)
-    own = _with_prior(hosts.drop("suffix").join(up(by_domain, "domain"), "domain"), whole, above, k)
-    rate = (F.col("bad") + F.col("strength") * F.col("m")) / (F.col("n") + F.col("strength"))
-    own = own.select("host", "n", rate.alias("rate"), "strength")
-    bound = F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
+    up = lambda df, *keys: df.select(*keys, F.col("n").alias("all_n"), F.col("bad").alias("all_bad"), F.col("m").alias("above"))
+    top = hosts.agg(F.sum("n"), F.sum("bad")).first()
+    whole = {"all_n": F.lit(top[0] or 0.0), "all_bad": F.lit(top[1] or 0.0)}
+    # half a bad page in one stands above all
+    by_suffix, k = _with_prior(add(hosts, "suffix").withColumns(whole), 0.5, 1.0)
+    by_domain, k = _with_prior(add(hosts, "domain", "suffix").join(up(by_suffix, "suffix"), "suffix"), F.col("above"), k)
+    own, k = _with_prior(hosts.drop("suffix").join(up(by_domain, "domain"), "domain"), F.col("above"), k)
+    own = own.select("host", "n", ((F.col("bad") + k * F.col("m")) / (F.col("n") + k)).alias("rate"), F.lit(k).alias("strength"))
+    bound = F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + k + 1))
     return own.select("host", "n", "rate", "strength", bound.alias("bound"))
 
 
