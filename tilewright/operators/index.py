@@ -49,6 +49,7 @@ class TiledIndex:
     seed: int = 0
     layout: Layout | None = None
     tiles: dict[str, Tile] = field(default_factory=dict)
+    clustered: DataFrame | None = None
     points: DataFrame | None = None
     cube: DataFrame | None = None
     planner: Planner | None = None
@@ -84,8 +85,10 @@ class TiledIndex:
             self.plan_layout(q0)
         if self.built:
             raise RuntimeError("the index is built already")
-        placed = grid.assign(self.rows, self.layout).sortWithinPartitions("tile_row", "tile_id")
-        self.points = written(placed, "points", "tile_row")
+        # one shuffle clusters the table; x in the range lets a hot tile fill several files
+        order = ("tile_row", "tile_id", "x")
+        placed = grid.assign(self.rows, self.layout).repartitionByRange(*order).sortWithinPartitions(*order)
+        self.clustered = self.points = written(placed, "points", "tile_row")
         self.cube = written(self._states(self.points, list(self.tiles.values())), "cube")
         self._measure(self.cube)
         return self
@@ -171,9 +174,8 @@ class TiledIndex:
         tiles |= {q.id: q for t in split for q in quarters(t)}
         tiles |= {k: replace(tiles[k], attrs=(*tiles[k].attrs, *more)) for k, more in grown.items()}
         changed = [tiles[q.id] for t in split for q in quarters(t)] + [tiles[k] for k in grown]
-        points = self.points
-        if split:
-            points = written(grid.descend(points, layout).sortWithinPartitions("tile_row", "tile_id"), "points", "tile_row")
+        # splits rewrite nothing: paths of split tiles are found at read time, and windows prune by x and y
+        points = grid.descend(self.clustered, layout)
         new = replace(self, layout=layout, tiles=tiles, points=points)
         old = points.sparkSession.createDataFrame([(t.id,) for t in [*split, *[self.tiles[k] for k in grown]]], "tile_id string")
         fresh = new._states(new._within(points, changed, True), changed)
@@ -203,4 +205,4 @@ class TiledIndex:
 
     def close(self) -> None:
         """Forget the tables; their files go with the shared folder."""
-        self.points = self.cube = None
+        self.clustered = self.points = self.cube = None
