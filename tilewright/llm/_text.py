@@ -7,6 +7,7 @@ content only: never on the chunk, the worker or the position.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _BYTES = np.arange(256)
 #: `[^\x20\x09-\x0D]`
@@ -66,23 +67,49 @@ class Texts:
 
 
 def split_texts(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """Groups of whole texts of at most `chunk_bytes`, or one longer text. Nulls count as empty."""
+    """Groups of whole texts of at most `chunk_bytes`, or one longer text. Nulls count as empty.
+
+    The batch's own buffers are read; after the batch, memory that it took goes back to the system.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
-    valid = np.asarray(column.is_valid())
-    column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
-    _, where, body = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+    valid = np.asarray(column.is_valid())
+    offsets, data = _buffers(column)
+    if column.null_count and np.diff(offsets)[~valid].any():
+        offsets, data = _buffers(pc.fill_null(column, ""))
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1)
         yield Texts(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], valid[lo:hi])
         lo = hi
+    release_memory()
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    wide = pa.types.is_large_string(column.type)
+    if not wide and not pa.types.is_string(column.type):
+        column, wide = column.cast(pa.large_string()), True
+    _, where, body = column.buffers()
+    offsets = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return offsets.astype(np.int64), np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+
+
+_trim = None
+
+
+def release_memory() -> None:
+    """Workers live long and keep what the allocators hold; give it back."""
+    global _trim
+    pa.default_memory_pool().release_unused()
+    if _trim is None:
+        try:
+            _trim = ctypes.CDLL(None).malloc_trim
+        except AttributeError:  # another C library
+            _trim = lambda _: 0
+    _trim(0)
 
 
 @dataclass

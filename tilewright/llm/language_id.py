@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import _text
 
 DIMENSIONS, PER_LANGUAGE, SHARPNESS = 1024, 5_000, 12.0
-KEPT_TRIGRAMS = 40_000
+KEPT_TRIGRAMS, BLOCK = 40_000, 2048
 UNKNOWN = "und"
 _GAP = 0x20
 
@@ -56,7 +56,7 @@ class Trigrams:
 
     def _clear(self) -> None:
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.table = np.zeros((0, self.d), np.int8)
+        self.table = np.empty((KEPT_TRIGRAMS, self.d), np.int8)  # pages are taken as rows are filled
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -64,23 +64,22 @@ class Trigrams:
         return self.letters[code]
 
     def vectors(self, keys: np.ndarray) -> np.ndarray:
-        """Rows for sorted distinct keys."""
-        if len(self.keys) > KEPT_TRIGRAMS:
+        """Rows for at most BLOCK sorted distinct keys."""
+        if len(self.keys) + BLOCK > KEPT_TRIGRAMS:
             self._clear()
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
         fresh = keys[~known]
         if len(fresh):
-            made = np.empty((len(fresh), self.d), np.int8)
+            used = len(self.keys)
             for i, k in enumerate(fresh.tolist()):
                 a, b, c = k >> 42, (k >> 21) & 0x1FFFFF, k & 0x1FFFFF
-                made[i] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
-            rows = np.concatenate([self.rows, len(self.table) + np.arange(len(fresh))])
+                self.table[used + i] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
+            rows = np.concatenate([self.rows, used + np.arange(len(fresh))])
             merged = np.concatenate([self.keys, fresh])
             order = np.argsort(merged, kind="stable")
             self.keys, self.rows = merged[order], rows[order]
-            self.table = np.concatenate([self.table, made])
             at = np.searchsorted(self.keys, keys)
         return self.table[self.rows[at]]
 
@@ -100,8 +99,8 @@ class Trigrams:
             weights[i, back[at : at + len(k)]] = np.log1p(n)
             at += len(k)
         out = np.zeros((len(found), self.d), np.float32)
-        for lo in range(0, len(every), 4096):
-            out += weights[:, lo : lo + 4096] @ self.vectors(every[lo : lo + 4096]).astype(np.float32)
+        for lo in range(0, len(every), BLOCK):
+            out += weights[:, lo : lo + BLOCK] @ self.vectors(every[lo : lo + BLOCK]).astype(np.float32)
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 

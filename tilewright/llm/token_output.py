@@ -33,7 +33,7 @@ from ._store import new_path
 
 END_ID = 0
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 800_000
 SAMPLE = 256
 
 
