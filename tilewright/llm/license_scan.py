@@ -2,11 +2,12 @@
 
 A text's words are its lower-cased runs of letters and digits. Windows are eight words long and
 start at every fourth word; templates have a window at every word. A window's shingles are its
-pairs of neighbours. Ten hashes, the pairs' hash under ten masks, are minimised over a window,
-each a band of one row: a window that shares a fraction J of its pairs with a template's window
-meets it with probability 1 - (1 - J)^10. A notice of five words or more lies wholly in one
-window or fills one, so J is 4/7 or more: over 0.9997 for each window, and long templates have
-many. Windows that meet a template are verified by exact strings: the share of the template's
+pairs of neighbours. Sixteen hashes, the pairs' hash under sixteen masks, are minimised over a
+window, each a band of one row, and a window is a candidate if three bands meet those of one
+template's window set. A notice of five words or more lies wholly in one window or fills one, so
+it shares J = 4/7 of its pairs or more: three of sixteen meet with a probability of 0.9997, and
+long templates have many windows. A window with one common pair seldom has three. Candidates
+are verified by exact strings: the share of the template's
 pairs that the text around the window holds must reach `containment`.
 
 Only SQL functions run. Templates are a small table (their bands are broadcast after a check of
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._store import materialize
 
-WINDOW, STRIDE, BANDS, CONTAINMENT = 8, 4, 10, 0.8
+WINDOW, STRIDE, BANDS, MET, CONTAINMENT = 8, 4, 16, 3, 0.8
 BROADCAST_BANDS, BROADCAST_IDS = 200_000, 2_000_000
 
 #: Fixed notices of well-known licenses.
@@ -90,7 +91,8 @@ def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     hashed = docs.select("id", F.transform(words("text"), lambda x: F.xxhash64(x)).alias("h"))
     met = _bands(hashed.select("id", F.inline(_window_arrays(F.col("h"), STRIDE))), ["id"])
-    met = met.join(F.broadcast(shaped) if few else shaped, ["band", "key"]).select("id", "license", "at").distinct()
+    met = met.join(F.broadcast(shaped) if few else shaped, ["band", "key"])
+    met = met.groupBy("id", "license", "at").agg(F.count("*").alias("bands")).where(F.col("bands") >= MET)
     near = materialize(met.groupBy("id", "license").agg(F.collect_set("at").alias("places")), "license_candidates")
 
     ids = near.select("id").distinct()
