@@ -206,6 +206,25 @@ def test_long_template_in_running_text(spark):
     assert got["licenses"] == "MIT-permission" and got["containment"] == 1.0
 
 
+def test_short_templates_are_always_met(spark, rows):
+    """Two, three and four words, anywhere in a text, alone or with other words before and after them."""
+    forms = {"two": "Alpha Beta", "three": "All rights reserved.", "four": "use at own risk", "none": "word"}
+    filler = lambda i, n: " ".join(f"f{i}x{k}" for k in range(n))
+    texts = [f"{filler(i, i % 13)} {forms[k]} {filler(-i, i % 7)}" for k in list(forms)[:3] for i in range(300)]
+    texts += ["all rights of the author are never reserved", "all rights x rights reserved", "own risk at own use at", "alpha", "word", "all rights " + filler(1, 40) + " rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(license_scan.scan(df, spark.createDataFrame(list(forms.items()), "license string, text string")))
+    assert got == sorted(brute.op8(enumerate(texts), {k: v for k, v in forms.items() if k != "none"}), key=str)
+    assert sum(r[2] in forms for r in got) >= 900
+
+
+def test_rights_notices_are_found(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = license_scan.scan(df, license_scan.template_table(spark)).where("array_contains(split(licenses, ','), 'All-rights-reserved')")
+    lines = df.where(F.array_contains(F.split("text", "\n"), "All rights reserved."))
+    assert {r[0] for r in lines.select("doc_id").collect()} == {r[0] for r in got.select("doc_id").collect()} and lines.count() == 7
+
+
 # --- decontamination --------------------------------------------------------------------
 
 

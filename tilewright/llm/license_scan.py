@@ -6,14 +6,18 @@ pairs of neighbours. Sixteen hashes, the pairs' hash under sixteen masks, are mi
 window, each a band of one row, and a window is a candidate if three bands meet those of one
 template's window set. A notice of five words or more lies wholly in one window or fills one, so
 it shares J = 4/7 of its pairs or more: three of sixteen meet with a probability of 0.9997, and
-long templates have many windows. A window with one common pair seldom has three. Candidates
+long templates have many windows. A window with one common pair seldom has three. Templates of
+fewer than five words are too small for that: their pairs are looked up by themselves, so each
+window with one of them is met, and a text is a candidate if it has as many of them as
+`containment` asks for. Candidates
 are verified by exact strings: the share of the template's
 pairs that the text around the window holds must reach `containment`.
 
 Only SQL functions run. Templates are a small table (their bands are broadcast after a check of
 their number). Whatever meets no band ends in the scan; only candidates are joined with texts.
 
-Defined results: null or empty texts, and those of one word, have no license. Repeated rows are
+Defined results: null or empty texts, and those of one word, have no license; templates of fewer than two
+words have no pairs and are never found. Repeated rows are
 repeated in the result. Rows with equal ids share their licenses.
 """
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from ._store import materialize
 
 WINDOW, STRIDE, BANDS, MET, CONTAINMENT = 8, 4, 16, 3, 0.8
+#: Templates of fewer words are looked up by every pair.
+BANDED = 5
 BROADCAST_BANDS, BROADCAST_IDS = 200_000, 2_000_000
 
 #: Fixed notices of well-known licenses.
@@ -54,6 +60,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
+    "All-rights-reserved": "All rights reserved.",
 }
 
 _MASKS = [int(x) for x in np.random.default_rng(10).integers(-(2**63), 2**63 - 1, BANDS)]
@@ -69,31 +76,45 @@ def _window_arrays(hashes: Column, stride: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(hashes, i, WINDOW).alias("w")))
 
 
-def _bands(windows: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., at, w) to (keep..., at, band, key)."""
+def _bands(windows: DataFrame, keep: list[str], single: bool = False) -> DataFrame:
+    """(keep..., at, w) to (keep..., at, band, key); if `single`, also every pair of a window, as band `BANDS`."""
     pairs = windows.select(*keep, "at", *[F.when(F.get("w", F.lit(j + 1)).isNotNull(), F.xxhash64(F.get("w", F.lit(j)), F.get("w", F.lit(j + 1)))).alias(f"p{j}") for j in range(WINDOW - 1)])
     keys = [F.least(*[F.col(f"p{j}").bitwiseXOR(F.lit(m)) for j in range(WINDOW - 1)]) for m in _MASKS]
-    return pairs.where("p0 is not null").select(*keep, "at", F.posexplode(F.array(*keys)).alias("band", "key"))
+    keys += [F.col(f"p{j}") for j in range(WINDOW - 1)] if single else []
+    got = pairs.where("p0 is not null").select(*keep, "at", F.posexplode(F.array(*keys)).alias("band", "key"))
+    return got.select(*keep, "at", F.least("band", F.lit(BANDS)).alias("band"), "key")
 
 
 def _pairs(tokens: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def _pair_hashes(hashes: Column) -> Column:
+    n = F.size(hashes) - 1
+    return F.array_distinct(F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b)))
+
+
 def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """`templates` (license, text) to distinct (id, license, containment: the best of its windows)."""
     forms = templates.select("license", words("text").alias("tokens")).where(F.size("tokens") > 1)
     forms = materialize(forms.select("license", "tokens", _pairs(F.col("tokens")).alias("pairs"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")), "templates")
-    shaped = _bands(forms.select("license", F.inline(_window_arrays(F.col("h"), 1))), ["license"])
-    shaped = materialize(shaped.select("license", "band", "key").distinct(), "template_bands")
-    few = shaped.count() <= BROADCAST_BANDS
+    shaped = _bands(forms.where(F.size("tokens") >= BANDED).select("license", F.inline(_window_arrays(F.col("h"), 1))), ["license"])
+    shaped = shaped.select("license", "band", "key", F.lit(0).alias("bit"), F.lit(0).alias("n_pairs")).distinct()
+    single = forms.where(F.size("tokens") < BANDED).select("license", F.size("pairs").alias("n_pairs"), F.posexplode(_pair_hashes(F.col("h"))).alias("i", "key"))
+    single = single.select("license", F.lit(BANDS).alias("band"), "key", F.expr("shiftleft(1, i)").alias("bit"), "n_pairs")
+    shaped = materialize(shaped.unionByName(single), "template_bands")
+    kinds = {r["single"]: r["count"] for r in shaped.groupBy((F.col("band") == BANDS).alias("single")).count().collect()}  # two rows at most
+    few = sum(kinds.values()) <= BROADCAST_BANDS
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     hashed = docs.select("id", F.transform(words("text"), lambda x: F.xxhash64(x)).alias("h"))
-    met = _bands(hashed.select("id", F.inline(_window_arrays(F.col("h"), STRIDE))), ["id"])
+    met = _bands(hashed.select("id", F.inline(_window_arrays(F.col("h"), STRIDE))), ["id"], True in kinds)
     met = met.join(F.broadcast(shaped) if few else shaped, ["band", "key"])
-    met = met.groupBy("id", "license", "at").agg(F.count("*").alias("bands")).where(F.col("bands") >= MET)
-    near = materialize(met.groupBy("id", "license").agg(F.collect_set("at").alias("places")), "license_candidates")
+    met = met.groupBy("id", "license", "at").agg(F.count("*").alias("bands"), F.bit_or("bit").alias("bits"), F.max("n_pairs").alias("n_pairs"))
+    met = met.where((F.col("bands") >= MET) | (F.col("bits") > 0)).groupBy("id", "license")
+    met = met.agg(F.collect_set("at").alias("places"), F.bit_or("bits").alias("bits"), F.max("n_pairs").alias("n_pairs"))
+    met = met.where(F.bit_count("bits") / F.greatest("n_pairs", F.lit(1)) >= F.when(F.col("n_pairs") > 0, containment).otherwise(0.0))
+    near = materialize(met.select("id", "license", "places"), "license_candidates")
 
     ids = near.select("id").distinct()
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
