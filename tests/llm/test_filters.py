@@ -78,6 +78,34 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert not any(got[r[0]] for r in bad)
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    """A group without scatter, and texts that differ from it in one statistic only."""
+    rng = np.random.default_rng(5)
+    words = lambda n, size=6: ["".join(rng.choice(list("abcdefghij"), size)) for _ in range(n)]
+    lines, seen, few = words(2), set(), words(20)
+    while len(lines) < 200:
+        lines.append(few[rng.integers(20)])
+        if (x := tuple(lines[-3:])) in seen:
+            lines.pop()
+        seen.add(x)
+    passage = words(45)
+    odd = {
+        "s_length": " ".join(words(20_000)),
+        "s_word": " ".join(words(200, 20)),
+        "s_symbols": " ".join(x if i % 2 else x[:-1] + "#" for i, x in enumerate(words(200))),
+        "s_lines": "\n".join(lines),
+        "s_repeats": " ".join(passage + words(110) + passage),
+    }
+    texts = [(f"clean {i}", " ".join(words(200)), "en", "s") for i in range(300)] + [(k, t, "en", "s") for k, t in odd.items()]
+    df = spark.createDataFrame(texts, "doc_id string, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {k for k, r in got.items() if not r["kept"]} == set(odd)
+    first = got["clean 0"]
+    assert got["s_lines"]["n_repeat_words"] == got["s_length"]["n_repeat_words"] == got["s_repeats"]["n_dup_lines"] == 0
+    assert got["s_lines"]["n_dup_lines"] >= 170 and got["s_repeats"]["n_words"] == got["s_lines"]["n_words"] == first["n_words"]
+
+
 def test_estimate_equals_plain_steps(documents):
     """The same steps in numpy, for the group of all documents."""
     rows = quality_rules.statistics(documents)
