@@ -253,6 +253,21 @@ def test_rights_notices_are_found(spark):
     assert {r[0] for r in lines.select("doc_id").collect()} == {r[0] for r in got.select("doc_id").collect()} and lines.count() == 7
 
 
+def test_similar_licenses_are_told_apart(spark, tmp_path):
+    kinds = ["BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
+    texts = {k: f"Some words before it. Licensed under CC {k} 4.0. And some more after that." for k in kinds}
+    texts |= {"short": "This is under CC BY-NC 4.0 now", "both": texts["BY"] + " word" * 30 + " " + texts["BY-NC"], "header": license_scan.TEMPLATES["Apache-2.0-header"]}
+    spark.createDataFrame(list(texts.items()), "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["licenses"], round(r["containment"], 3)) for r in queries.op8_license_scan(spark, str(tmp_path)).collect()}
+    want = {k: (f"CC-{k}-4.0", 1.0) for k in kinds}
+    assert got == want | {"short": ("CC-BY-NC-4.0", 0.833), "both": ("CC-BY-4.0,CC-BY-NC-4.0", 1.0), "header": ("Apache-2.0,Apache-2.0-header", 1.0)}
+
+
+def test_non_commercial_documents_are_not_plain_by(spark):
+    got = queries.op8_license_scan(spark, "/root/testdata/sf0.01").where("licenses like '%CC-BY%'").select("licenses").collect()
+    assert [r[0] for r in got] == ["CC-BY-NC-4.0"] * 4
+
+
 # --- decontamination --------------------------------------------------------------------
 
 

@@ -11,7 +11,10 @@ fewer than five words are too small for that: their pairs are looked up by thems
 window with one of them is met, and a text is a candidate if it has as many of them as
 `containment` asks for. Candidates
 are verified by exact strings: the share of the template's
-pairs that the text around the window holds must reach `containment`.
+pairs that the text around the window holds must reach `containment`. That alone takes 'CC BY-NC'
+for 'CC BY' too, as only one of five pairs is missing. With `apart`, as the query has it, a template
+of few pairs whose share in another template reaches `containment` must also hold in full the pairs
+that the other one lacks; templates that lie wholly in another are found in it as before.
 
 Only SQL functions run. Templates are a small table (their bands are broadcast after a check of
 their number). Whatever meets no band ends in the scan; only candidates are joined with texts.
@@ -32,6 +35,8 @@ from ._store import materialize
 WINDOW, STRIDE, BANDS, MET, CONTAINMENT = 8, 4, 16, 3, 0.8
 #: Templates of fewer words are looked up by every pair.
 BANDED = 5
+#: Templates of so many pairs at most are told apart from similar ones.
+FEW_PAIRS = 16
 BROADCAST_BANDS, BROADCAST_IDS = 200_000, 2_000_000
 
 #: Fixed notices of well-known licenses.
@@ -59,6 +64,9 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
     "All-rights-reserved": "All rights reserved.",
 }
@@ -94,7 +102,17 @@ def _pair_hashes(hashes: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b)))
 
 
-def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def _telling(forms: DataFrame, containment: float) -> DataFrame:
+    """(license, pairs) to (license, telling: the pairs that similar templates lack), for templates that have such."""
+    pairs = forms.select("license", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
+    other = pairs.select(F.col("license").alias("other"), "pair")
+    alike = pairs.where(F.col("n") <= FEW_PAIRS).join(other, "pair").where(F.col("license") != F.col("other")).groupBy("license", "other", "n")
+    alike = alike.agg(F.collect_set("pair").alias("common")).where(F.size("common") / F.col("n") >= containment)
+    lacks = alike.join(forms.select("license", "pairs"), "license").select("license", F.explode(F.array_except("pairs", "common")).alias("pair"))
+    return lacks.groupBy("license").agg(F.collect_set("pair").alias("telling"))
+
+
+def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, apart: bool = False) -> DataFrame:
     """`templates` (license, text) to distinct (id, license, containment: the best of its windows)."""
     forms = templates.select("license", words("text").alias("tokens")).where(F.size("tokens") > 1)
     forms = materialize(forms.select("license", "tokens", _pairs(F.col("tokens")).alias("pairs"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")), "templates")
@@ -119,14 +137,16 @@ def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     ids = near.select("id").distinct()
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(some, "id", "left_semi").select("id", words("text").alias("words"))
-    both = near.join(F.broadcast(forms.select("license", "pairs", F.size("tokens").alias("n"))) if few else forms.select("license", "pairs", F.size("tokens").alias("n")), "license").join(texts, "id")
-    around = F.transform(
-        F.col("places"),
-        lambda at: F.size(
-            F.array_intersect(F.col("pairs"), _pairs(F.slice("words", F.greatest(F.lit(1), at - F.col("n")), F.lit(WINDOW) + 2 * F.col("n"))))
-        )
-        / F.size("pairs"),
-    )
+    shapes = forms.select("license", "pairs", F.size("tokens").alias("n"))
+    if apart:
+        shapes = materialize(shapes.join(_telling(forms, containment), "license", "left"), "template_pairs")
+    else:
+        shapes = shapes.withColumn("telling", F.lit(None).cast("array<string>"))
+    both = near.join(F.broadcast(shapes) if few else shapes, "license").join(texts, "id")
+    local = F.transform("places", lambda at: _pairs(F.slice("words", F.greatest(F.lit(1), at - F.col("n")), F.lit(WINDOW) + 2 * F.col("n"))))
+    if apart:
+        local = F.filter(local, lambda x: F.col("telling").isNull() | (F.size(F.array_except("telling", x)) == 0))
+    around = F.transform(local, lambda x: F.size(F.array_intersect(F.col("pairs"), x)) / F.size("pairs"))
     found = both.select("id", "license", F.array_max(around).alias("containment")).where(F.col("containment") >= containment)
     return found.groupBy("id", "license").agg(F.max("containment").alias("containment")).withColumnRenamed("id", id_col)
 
@@ -135,9 +155,9 @@ def template_table(spark) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
 
 
-def scan(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def scan(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, apart: bool = False) -> DataFrame:
     """One row per document row: id, n_licenses, licenses (sorted, comma-joined), containment (the best; 0 if none)."""
-    found = matches(documents, templates, id_col, text_col, containment).groupBy(id_col).agg(F.array_sort(F.collect_set("license")).alias("l"), F.max("containment").alias("c"))
+    found = matches(documents, templates, id_col, text_col, containment, apart).groupBy(id_col).agg(F.array_sort(F.collect_set("license")).alias("l"), F.max("containment").alias("c"))
     found = found.withColumnRenamed(id_col, "found_id")
     got = documents.select(id_col).join(found, F.col(id_col) == F.col("found_id"), "left")
     return got.select(id_col, F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.concat_ws(",", "l"), F.lit("")).alias("licenses"), F.coalesce("c", F.lit(0.0)).alias("containment"))

@@ -50,7 +50,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.template_table(spark), apart=True)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
