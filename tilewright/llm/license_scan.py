@@ -2,7 +2,7 @@
 
 A text's words are its lower-cased runs of letters and digits. Windows are eight words long and
 start at every fourth word; templates have a window at every word. A window's shingles are its
-pairs of neighbours. Sixteen hashes, the pairs' hash under sixteen masks, are minimised over a
+pairs of neighbours. Sixteen hashes, each xxhash64 of the pair's hash under its own mask, are minimised over a
 window, each a band of one row, and a window is a candidate if three bands meet those of one
 template's window set. A notice of five words or more lies wholly in one window or fills one, so
 it shares J = 4/7 of its pairs or more: three of sixteen meet with a probability of 0.9997, and
@@ -87,10 +87,13 @@ def _window_arrays(hashes: Column, stride: int) -> Column:
 def _bands(windows: DataFrame, keep: list[str], single: bool = False) -> DataFrame:
     """(keep..., at, w) to (keep..., at, band, key); if `single`, also every pair of a window, as band `BANDS`."""
     pairs = windows.select(*keep, "at", *[F.when(F.get("w", F.lit(j + 1)).isNotNull(), F.xxhash64(F.get("w", F.lit(j)), F.get("w", F.lit(j + 1)))).alias(f"p{j}") for j in range(WINDOW - 1)])
-    keys = [F.least(*[F.col(f"p{j}").bitwiseXOR(F.lit(m)) for j in range(WINDOW - 1)]) for m in _MASKS]
-    keys += [F.col(f"p{j}") for j in range(WINDOW - 1)] if single else []
-    got = pairs.where("p0 is not null").select(*keep, "at", F.posexplode(F.array(*keys)).alias("band", "key"))
-    return got.select(*keep, "at", F.least("band", F.lit(BANDS)).alias("band"), "key")
+    # bands are rows before they are hashed: all of them in one expression would be too long to compile
+    masks = F.array(*map(F.lit, _MASKS + [0] * (WINDOW - 1 if single else 0)))
+    got = pairs.where("p0 is not null").select("*", F.posexplode(masks).alias("band", "mask"))
+    key = F.when(F.col("band") < BANDS, F.least(*[F.when(F.col(f"p{j}").isNotNull(), F.xxhash64(F.col(f"p{j}").bitwiseXOR(F.col("mask")))) for j in range(WINDOW - 1)]))
+    for j in range(WINDOW - 1 if single else 0):
+        key = key.when(F.col("band") == BANDS + j, F.col(f"p{j}"))
+    return got.select(*keep, "at", F.least("band", F.lit(BANDS)).alias("band"), key.alias("key"))
 
 
 def _pairs(tokens: Column) -> Column:
