@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1_000_000
+HASH_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
 #: `[^\x20\x09-\x0D]`
@@ -130,17 +131,23 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        powers, inverse = _power_tables(n)
-        sums = _BYTE_VALUE[self.data]
-        sums *= powers[:n]
-        np.cumsum(sums, out=sums)
-        h = sums[self.end - 1]
-        h[self.start > 0] -= sums[self.start[self.start > 0] - 1]
-        h *= inverse[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        """A hash per word; blocks of whole words bound what a very long text needs beside its words."""
+        out = np.zeros(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            lo = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, lo + HASH_BYTES, "right")))
+            first, size = self.start[i:j] - lo, self.end[i:j] - self.start[i:j]
+            powers, inverse = _power_tables(int(self.end[j - 1]) - lo)
+            sums = _BYTE_VALUE[self.data[lo : self.end[j - 1]]]
+            sums *= powers[: len(sums)]
+            np.cumsum(sums, out=sums)
+            h = sums[first + size - 1]
+            h[1:] -= sums[first[1:] - 1]
+            h *= inverse[first]
+            out[i:j] = mix(h + size.astype(np.uint64))
+            i = j
+        return out
 
     def span(self, i: int, n: int, sep: bytes = b" ") -> bytes:
         """Words i to i + n, joined."""

@@ -13,14 +13,22 @@ more; a document's class is its connected component.
    paired with the others: a bucket of n makes n - 1 candidates. Candidates are confirmed on
    their full sets, and components are formed.
 4. *The rest.* A bucket that still holds several components may hide a link that no star had.
-   Its members go through an exact prefix-filter join: with shingles ordered by rarity
-   classes and hash, two linked sets share one among their first n - overlap + 1. Members of one
-   component are not paired again. So no pair that meets in a bucket is lost, and pairs are not
-   expanded within groups.
+   Its members go through an exact prefix-filter join. Shingles that one component alone has
+   cannot link anything; the others are ordered by how many sets have them, the rarest first.
+   Two linked sets share a shingle among their first n - overlap + 1, at places that leave room
+   for the overlap. Members of one component are not paired again. So no pair that meets in a
+   bucket is lost, and pairs are not expanded within groups. A shingle in the prefixes of very
+   many sets of different components is one key of a join that Spark may split over tasks.
+
+Nodes are groups of equal sets, named by their smallest id. Where ids are null or repeat with different texts, the
+name also holds the set's sums, so that each row follows its own text.
 
 Defined results: null or empty texts, or texts of white space, have empty sets and are linked
-with nothing. A null id is its own class with a null component, and is kept. Rows that repeat an
-id are one document, linked through the largest of its sets. Other columns are ignored.
+with nothing; each such row is kept. Rows that repeat an id with different texts are documents of their own: each has the
+component and `kept` of its own text, so one may be kept and the other not. A null id sorts last: such a row is linked
+like any other, its component is the smallest id that it reaches (null if none is known), and it is kept if that is
+null. `keep_first` keeps one row of each class, whatever repeats: the smallest id, and of its rows the one with the
+least text key; exact repeats of that row go. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,19 +38,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import _bloom, _text
+from . import _text
 from ._components import components
-from ._store import drop, materialize, release, without
+from ._store import drop, materialize, only, release, small, text_key, without
 
 SHINGLE, BINS, ROWS = 5, 160, 4
 #: Similarity as a fraction.
 NUM, DEN = 75, 100
-#: Shingles are ordered by how many of these numbers of documents they reach, the rarest first.
-FREQUENT = (2, 4, 16, 128)
-#: Ids of documents with candidates that may be broadcast to pick their texts; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 
 _ORDER = np.random.default_rng(75).random((BINS, BINS))
 _ODD = np.random.default_rng(76).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,30 +103,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(t.lo, t.hi - t.lo),
+                    *[batch.column(c).slice(t.lo, t.hi - t.lo) for c in (0, 2)],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([p[0] for p in pairs], pa.int64()),
                     pa.array([p[1] for p in pairs], pa.int64()),
                     _text.lists(_text.as_long(flat), np.array([len(k) for k in keys])),
                 ],
-                ["id", "n", "d1", "d2", "bands"],
+                ["id", "tid", "n", "d1", "d2", "bands"],
             )
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in _text.split_texts(batch.column(1)):
-            sets = shingle_sets(t)
-            pairs = [_digests(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(t.lo, t.hi - t.lo),
-                    pa.array([p[0] for p in pairs], pa.int64()),
-                    pa.array([p[1] for p in pairs], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                ["id", "d1", "d2", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.hi - t.lo), pa.array([s.tobytes() for s in shingle_sets(t)], pa.binary())], ["rep", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,66 +143,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, component, shingles) to one row a shingle."""
     for batch in batches:
-        for x in batch.column(0):
-            yield pa.RecordBatch.from_arrays([_text.as_long(np.frombuffer(x.as_buffer(), np.uint64))], ["token"])
-
-
-def _prefixes(shared):
-    """(rep, component, shingles) to the tokens of the prefix that others may have, with their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blooms = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                s = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                n = len(s)
-                rank = sum(_bloom.passes(b, s).astype(np.int8) for b in blooms)
-                order = np.lexsort((s, rank))
-                once = int((rank == 0).sum())
-                some = s[order[once : n - -(-NUM * n // DEN) + 1]]
-                if len(some):
-                    row = pa.array(np.zeros(len(some), np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, 1).take(row), batch.column(1).slice(i, 1).take(row), pa.array(np.full(len(some), n)), pa.array(once + 1 + np.arange(len(some))), _text.as_long(some)],
-                        ["rep", "component", "n", "place", "token"],
-                    )
-
-    return run
+        for i in range(batch.num_rows):
+            s = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+            row = pa.array(np.zeros(len(s), np.int64))
+            own = [batch.column(c).slice(i, 1).take(row) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(s), len(s)), pa.int64()), _text.as_long(s)], ["rep", "component", "n", "token"])
 
 
 def _rest(members: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
     """Links between components among `members` (rep, component), by an exact prefix-filter join."""
-    spark = members.sparkSession
     full = materialize(members.join(sets, "rep").select("rep", "component", "shingles"), "unresolved")
-    repeated = full.select("shingles").mapInArrow(_tokens, "token long").groupBy("token").count()
-    repeated = materialize(repeated.where(F.col("count") >= FREQUENT[0]), "repeated_shingles")
-    sizes = repeated.agg(*[F.coalesce(F.sum((F.col("count") >= k).cast("int")), F.lit(0)) for k in FREQUENT]).first()
-    shared = spark.sparkContext.broadcast([_bloom.build(repeated.where(F.col("count") >= k), "token", _bloom.size_for(n)) for k, n in zip(FREQUENT, sizes, strict=True)])
-    rows = materialize(full.mapInArrow(_prefixes(shared), f"rep {kind}, component {kind}, n long, place long, token long"), "prefixes")
+    tokens = full.mapInArrow(_tokens, f"rep {kind}, component {kind}, n long, token long")
+    seen = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "sets")
+    own = W.partitionBy("rep")  # one set at most
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "token"))
+    rows = tokens.join(seen, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)
+    rows = materialize(rows.select("rep", "component", "n", "place", "token"), "prefixes")
     x, y = rows.alias("x"), rows.alias("y")
     overlap = F.ceil(F.lit(NUM) * (F.col("x.n") + F.col("y.n")) / F.lit(NUM + DEN))
     near = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.component") != F.col("y.component"))
+        & (DEN * F.least("x.n", "y.n") >= NUM * F.greatest("x.n", "y.n"))
         & (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= overlap)
     )
     pairs = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     return _confirmed(pairs, full, kind)
 
 
-def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id, n_shingles, component_id, kept."""
+def _labelled(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document row: id, tid (text key), n, class (null without shingles), component_id, kept."""
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(docs.mapInArrow(_sign, f"id {kind}, n long, d1 long, d2 long, bands array<long>"), "signatures")
-    known = signed.where("n > 0 and id is not null")
-    groups = materialize(known.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "groups")
-    own = known.join(groups, ["n", "d1", "d2"]).where("id = rep")
-    nodes = own.groupBy("rep").agg(F.max(F.struct("n", "d1", "d2", "bands")).alias("s")).select("rep", "s.*")
-    nodes = materialize(nodes, "nodes")
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tid"))
+    signed = materialize(docs.mapInArrow(_sign, f"id {kind}, tid long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    known = signed.where("n > 0")
+    least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "tid"))
+    groups = known.groupBy("n", "d1", "d2").agg(least.alias("least"), F.first("bands").alias("bands"))
+    groups = materialize(groups.select("n", "d1", "d2", F.col("least.id").alias("id"), F.col("least.tid").alias("tid"), "bands"), "groups")
+    plain = groups.groupBy("id").count().where("count > 1 or id is null").isEmpty()
+    node = F.col("id") if plain else F.struct(F.col("id").isNull().alias("unknown"), "id", "d1", "d2")
+    node_kind = kind if plain else f"struct<unknown:boolean,id:{kind},d1:bigint,d2:bigint>"
+    nodes = groups.withColumn("rep", node)
 
     rows = nodes.select("rep", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -218,20 +198,22 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     del rows, shared, company, hubs
     release(spark)
 
-    wanted = materialize(stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "rep"), "candidate_ids")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(side.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text")
-    full = texts.mapInArrow(_full_sets, f"id {kind}, d1 long, d2 long, shingles binary")
-    full = full.join(nodes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"])
-    sets = materialize(full.select(F.col("id").alias("rep"), "shingles"), "sets")
-    links = materialize(_confirmed(stars, sets, kind), "confirmed")
+    wanted = stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "rep")
+    wanted = materialize(wanted.join(nodes, "rep").select("rep", F.col("id").alias("want_id"), F.col("tid").alias("want_tid")), "candidate_texts")
+    wanted = small(wanted)
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["want_id"]) & (docs["tid"] == wanted["want_tid"])).select("rep", "text")
+    full = texts.mapInArrow(_full_sets, f"rep {node_kind}, shingles binary")
+    if not known.groupBy("id", "tid").count().where("count > 1").isEmpty():  # rows that repeat in full
+        full = full.dropDuplicates(["rep"])
+    sets = materialize(full, "sets")
+    links = materialize(_confirmed(stars, sets, node_kind), "confirmed")
     release(spark)
 
     first = materialize(components(links), "components")
     placed = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     members = materialize(placed.join(open_keys, "key", "left_semi").select("rep", "component").distinct(), "members")
-    more = materialize(_rest(members, sets, kind), "confirmed_rest")
+    more = materialize(_rest(members, sets, node_kind), "confirmed_rest")
     if more.isEmpty():
         final = first
     else:
@@ -240,16 +222,24 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop(met)
     release(spark)
 
-    of_group = groups.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    # rows that repeat an id in several groups share the smallest of their components
-    of_row = signed.drop("bands").join(of_group, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return of_row.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
-    )
+    of_group = nodes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("class"))
+    got = signed.drop("bands").join(of_group, ["n", "d1", "d2"], "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class") if plain else F.col("class.id"))
+    return got.select("id", "tid", "n", "class", component.alias("component_id")).withColumn("kept", (F.col("n") == 0) | F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: id, n_shingles, component_id, kept."""
+    return _labelled(documents, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that are the smallest id of their class."""
-    found = materialize(classes(documents, id_col, text_col).where("not kept").select(id_col), "near_duplicates")
-    return without(documents, found, id_col)
+    """The rows, with all their columns, that come first in their class; one of each class, and all without shingles."""
+    rows = materialize(_labelled(documents, id_col, text_col).where("n > 0").select("id", "tid", "class"), "classes")
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "tid")).alias("first"))
+    later = rows.join(first, "class").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tid") == F.col("first.tid"))))
+    kept = without(documents, materialize(later.select("id", "tid").distinct(), "near_duplicates"), id_col, text_col)
+    again = materialize(rows.groupBy("id", "tid").count().where("count > 1").select("id", "tid"), "repeated_rows")
+    if again.isEmpty():
+        return kept
+    return without(kept, again, id_col, text_col).unionByName(only(kept, again, id_col, text_col).dropDuplicates([id_col, text_col]))
