@@ -63,20 +63,44 @@ def test_odd_near_duplicates(odd, unnamed, nothing, pairs, rows):
     got = rows(minhash_dedup.classes(odd))
     want = {r[0]: r for r in brute.op2(dict(pairs(odd)).items())}
     assert got == sorted((want[d] for d, _ in pairs(odd)), key=str)
-    for r in minhash_dedup.classes(unnamed).collect():
-        assert (r["doc_id"] is None) == (r["component_id"] is None) and (r["doc_id"] is not None or r["kept"])
+    # null ids sort last, and each such row is a document
+    named = [(10**9 + i if d is None else d, t) for i, (d, t) in enumerate(pairs(unnamed))]
+    want = {r[0]: r for r in brute.op2(dict(named).items())}
+    hidden = lambda x: None if x >= 10**9 else x
+    want = [(hidden(d), want[d][1], hidden(want[d][2]), not want[d][1] or want[d][2] >= 10**9 or want[d][3]) for d, _ in named]
+    assert rows(minhash_dedup.classes(unnamed)) == sorted(want, key=str)
     assert rows(minhash_dedup.classes(nothing)) == []
     assert minhash_dedup.keep_first(odd).columns == odd.columns
 
 
+def test_rows_follow_their_own_text(spark, rows):
+    """Repeated ids with different texts, null ids, and rows that repeat in full: nothing is lost, one of each class stays."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    near = a.split()
+    near[50] = "other"
+    near = " ".join(near)
+    data = [(3, a), (5, a), (5, b), (5, b), (7, near), (None, a), (None, c), (None, c), (9, None), (9, ""), (3, near)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(minhash_dedup.classes(df), "doc_id", "component_id", "kept")
+    want = [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 3, False), (None, 3, False), (None, None, True), (None, None, True), (9, 9, True), (9, 9, True), (3, 3, True)]
+    assert got == sorted(want, key=str)
+    kept = rows(minhash_dedup.keep_first(df))
+    assert [r for r in kept if r[0] != 3] == sorted([(5, b), (9, ""), (9, None), (None, c)], key=str)
+    assert [r[0] for r in kept].count(3) == 1 and len(kept) == 5
+
+
 def test_substrings_equal_brute_force(documents, pairs, rows):
-    got = rows(substring_dedup.remove_repeats(documents), "doc_id", "n_words", "n_removed", "kept_sha256")
-    assert got == sorted(brute.op6(pairs(documents)), key=str)
+    got = substring_dedup.remove_repeats(documents).cache()
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op6(pairs(documents)), key=str)
+    assert all(brute.sha(r["kept_text"]) == r["kept_sha256"] for r in got.collect())
 
 
 def test_odd_substrings(spark, odd, unnamed, nothing, pairs, rows):
     columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
     assert rows(substring_dedup.remove_repeats(odd), *columns) == sorted(brute.op6(pairs(odd)), key=str)
+    lookup = substring_dedup.remove_repeats(odd, with_text=False, filtered=0)
+    assert lookup.columns == list(columns) and rows(lookup) == sorted(brute.op6(pairs(odd)), key=str)
     last = [(10**9 if d is None else d, t) for d, t in pairs(unnamed)]
     want = sorted((None if r[0] == 10**9 else r[0], *r[1:]) for r in []) or [(None if r[0] == 10**9 else r[0], *r[1:]) for r in brute.op6(last)]
     assert rows(substring_dedup.remove_repeats(unnamed), *columns) == sorted(want, key=str)
@@ -92,7 +116,7 @@ def test_spans_and_paths_are_real(spark, rows):
     df = spark.createDataFrame([(1, a + " " + b), (2, "z " + a), (3, b)], "doc_id long, text string")
     spans, copies, paths = substring_dedup.repeated_spans(df)
     assert rows(spans, "id", "start", "length", "src", "src_start") == [(2, 1, 28, 1, 0), (3, 0, 28, 1, 40)]
-    assert copies.count() == 0
+    assert copies.count() == 0 and rows(spans, "path") == [(0,), (40,)]
     assert rows(paths) == [(1, 0, 28), (1, 40, 28)]
 
 

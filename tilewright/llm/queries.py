@@ -41,12 +41,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filters.RULES, "rule string, verdict string")
-    return url_filters.judge(_table(spark, sf_dir, "pages"), rules).drop("bound")
+    # a page's number is its document's
+    bad = F.when(F.col("quality").isin(0, 1), 1 - F.col("quality"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    return url_filters.judge(_table(spark, sf_dir, "pages"), rules, labels=labels, suffixes=url_filters.SUFFIXES).drop("bound")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

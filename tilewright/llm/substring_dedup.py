@@ -13,14 +13,18 @@ where something repeats:
 3. *Compaction.* An edge joins its successor where the node between them has one edge in and
    one out, and the successor's first place is the next word of the same document. Chains of
    such edges become paths: (document, position, edges).
-4. *Verification.* Every later place of an edge carries its own and its source's coordinates;
-   places that go forward together in both documents form the verified spans that are removed.
-   Edges are equal only if both node hashes, of twelve words each, are.
+4. *Verification.* Windows meet the paths through their edges, each with its own and its source's
+   coordinates. A stretch that goes forward in both along one path is a verified span; what is removed
+   are the words of spans. Edges are equal only if both node hashes, of twelve words each, are.
+
+Repeated anchors travel as a Bloom filter up to a size; beyond it windows meet the table of repeated anchors in a
+shuffled join, with the same result.
 
 Defined results: a null or empty text has no words; texts of fewer than k words lose
 nothing. Rows with equal ids are one document for the rule (no window of one covers the
 other), yet each row, even of another text, gives its own result. Null ids sort last and count
-as one document.
+as one document. An empty table gives an empty result. Bytes that are not UTF-8 cannot occur in a string column that
+Spark has checked; where they do, they are hashed as they are.
 """
 
 from __future__ import annotations
@@ -35,11 +39,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _bloom, _text
-from ._store import drop, materialize, release
+from ._store import drop, materialize, release, small, text_key, without
 
 K, ANCHOR = 13, 7
-#: Ids of identical later texts that may be broadcast; more are removed by a shuffled join.
-BROADCAST_IDS = 2_000_000
+#: Repeated anchors that a Bloom filter takes (sixteen bits each, 64 MB); more are looked up by a shuffled join.
+FILTERED = 1 << 25
 
 
 def _anchors(h: np.ndarray, k: int, anchor: int) -> np.ndarray:
@@ -64,131 +68,114 @@ def _anchor_rows(k: int, anchor: int):
 
 
 def _window_rows(shared, k: int, anchor: int):
-    """Windows with a repeated anchor: id, position, and the hashes of the first and last k-1 words."""
+    """Windows whose anchor passes the filter (all without one): id, text key, anchor, position, whether the
+    text had it before, and the hashes of the first and last k-1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
         for batch in batches:
             for t in _text.split_texts(batch.column(1)):
                 w = _text.words_of(t, _text.NOT_SPACE)
                 h = w.hashes()
-                at = np.flatnonzero(w.left() >= k)
-                at = at[_bloom.passes(bloom, _anchors(h, k, anchor)[at])]
+                at, best = np.flatnonzero(w.left() >= k), _anchors(h, k, anchor)
+                if shared is not None:
+                    at = at[_bloom.passes(shared.value, best[at])]
                 node = _text.grams(h, k - 1, 2)
+                a, b = node[at], node[at + 1] if len(at) else node[:0]
                 owner = np.searchsorted(w.first, at, "right") - 1
+                order = np.lexsort((at, b, a, owner))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c).slice(t.lo, t.hi - t.lo).take(own) for c in (0, 2)],
+                        _text.as_long(best[at]),
                         pa.array(at - w.first[owner], pa.int32()),
-                        _text.as_long(node[at]),
-                        _text.as_long(node[at + 1] if len(at) else node[:0]),
+                        pa.array(again),
+                        _text.as_long(a),
+                        _text.as_long(b),
                     ],
-                    ["id", "tid", "pos", "node_in", "node_out"],
+                    ["id", "tid", "anchor", "pos", "again", "node_in", "node_out"],
                 )
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tid, list of pos, src, src_pos) to runs that go forward together in both documents."""
-    for batch in batches:
-        lists = batch.column(2)
-        flat = lists.flatten()
-        pos, src_pos = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "src_pos"))
-        src = flat.field("src")
-        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        code = src.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        order = np.lexsort((pos, pos - src_pos, code, owner))
-        o, p, shift, c = owner[order], pos[order], (pos - src_pos)[order], code[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (o[1:] != o[:-1]) | (c[1:] != c[:-1]) | (shift[1:] != shift[:-1]) | (p[1:] > p[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(order))[: len(first)] - 1
-        own = pa.array(o[first])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(own),
-                batch.column(1).take(own),
-                pa.array(p[first], pa.int32()),
-                pa.array(p[last] - p[first] + 1, pa.int32()),
-                src.take(pa.array(order[first])),
-                pa.array(p[first] - shift[first], pa.int32()),
-            ],
-            ["id", "tid", "start", "length", "src", "src_start"],
-        )
-
-
-def _cut(k: int, name: str):
-    """Remove covered words: (id, text, spans, copy) to the digest columns and the kept text."""
+def _joined(w: _text.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the kept words, a space after each; where each text's begin, with the end)."""
+    at = np.flatnonzero(keep)
+    size = w.end[at] - w.start[at] + 1
+    to = np.concatenate([[0], np.cumsum(size)])
+    where = np.repeat(w.start[at] - to[:-1], size) + np.arange(to[-1])
+    out = np.append(w.data, np.uint8(32))[where]
+    out[to[1:] - 1] = 32
+    return out, to[np.searchsorted(at, w.first)]
+
+
+def _cut(k: int, name: str, text: bool):
+    """Remove covered words: (id, text, spans, copy) to the digest columns, and the kept text if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, copies = batch.column(2), batch.column(3)
+            spans, copies = batch.column(2), np.asarray(batch.column(3))
+            edge = spans.offsets.to_numpy()
+            start, length = (spans.values.field(c).to_numpy().astype(np.int64) for c in ("start", "length"))
             for t in _text.split_texts(batch.column(1)):
                 w = _text.words_of(t, _text.NOT_SPACE)
-                removed, kept = [], []
-                for i in range(t.hi - t.lo):
-                    a, n = int(w.first[i]), int(w.first[i + 1] - w.first[i])
-                    keep = np.ones(n, bool)
-                    if copies[t.lo + i].as_py():
-                        keep[:] = n < k
-                    else:
-                        for s in spans[t.lo + i].as_py() or ():
-                            keep[s["start"] : s["start"] + s["length"] + k - 1] = False
-                    at = a + np.flatnonzero(keep)
-                    removed.append(n - len(at))
-                    d = w.data
-                    kept.append(b" ".join([d[x:y].tobytes() for x, y in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(t.lo, t.hi - t.lo),
-                        pa.array(w.counts, pa.int64()),
-                        pa.array(removed, pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
-                        pa.array([x.decode("utf-8", "replace") for x in kept]),
-                    ],
-                    [name, "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
+                n, these = t.hi - t.lo, slice(edge[t.lo], edge[t.hi])
+                first = np.repeat(w.first[:-1], np.diff(edge[t.lo : t.hi + 1])) + start[these]
+                step = np.zeros(len(w.start) + 1, np.int32)
+                np.add.at(step, first, 1)
+                np.add.at(step, first + length[these] + k - 1, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                gone |= np.repeat(copies[t.lo : t.hi] & (w.counts >= k), w.counts)
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
+                out, at = _joined(w, ~gone)
+                kept = [out[a : max(a, b - 1)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                columns = [batch.column(0).slice(t.lo, n), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+                names = [name, "n_words", "n_removed", "kept_sha256"]
+                if text:
+                    columns, names = [*columns, pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())], [*names, "kept_text"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, filtered: int = FILTERED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, copies, paths).
 
-    spans: id, tid (hash of the text), start, length (windows), src, src_start: runs of windows that also start, in
-    the same order, in the smaller document `src`. copies: id and tid of texts identical
+    spans: id, tid (text key), src, path (where it begins in `src`), start, length (windows), src_start: stretches along
+    a path that go forward together in the document and in the smaller one `src`. copies: id and tid of texts identical
     to a smaller document's. paths: src, src_start, length (edges) of compacted repeated paths.
     """
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid")).where(F.col("text").isNotNull())
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tid")).where(F.col("text").isNotNull())
     prints = docs.select("id", "tid", F.md5("text").alias("digest"))
     groups = prints.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"), F.count("id").alias("known"))
     groups = groups.where((F.col("n") > 1) & F.col("least").isNotNull() & ((F.col("most") > F.col("least")) | (F.col("known") < F.col("n"))))
     later = F.col("id").isNull() | (F.col("id") > F.col("least"))
     copies = materialize(prints.join(groups, "digest").where(later).select("id", "tid").distinct(), "copies")
-    n = copies.count()
-    same = copies.toDF("copy_id", "copy_tid")
-    same = F.broadcast(same) if n <= BROADCAST_IDS else same
-    singles = docs.join(same, F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("tid") == F.col("copy_tid")), "left_anti") if n else docs
+    singles = without(docs, copies, "id", "text")
 
     rows = singles.mapInArrow(_anchor_rows(k, anchor), f"id {kind}, anchor long")
     counted = rows.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("unknown"))
     repeated = materialize(counted.where((F.col("most") > F.col("least")) | (F.col("unknown") & F.col("least").isNotNull())).select("anchor"), "repeated_anchors")
-    shared = spark.sparkContext.broadcast(_bloom.build(repeated, "anchor", _bloom.size_for(repeated.count())))
+    n = repeated.count()
+    shared = spark.sparkContext.broadcast(_bloom.build(repeated, "anchor", _bloom.size_for(n))) if n <= filtered else None
     del rows, counted
     release(spark)
 
-    windows = materialize(singles.select("id", "text", "tid").mapInArrow(_window_rows(shared, k, anchor), f"id {kind}, tid long, pos int, node_in long, node_out long"), "windows")
+    windows = singles.select("id", "text", "tid").mapInArrow(_window_rows(shared, k, anchor), f"id {kind}, tid long, anchor long, pos int, again boolean, node_in long, node_out long")
+    if shared is None:
+        windows = windows.join(repeated, "anchor", "left_semi")
+    windows = materialize(windows.drop("anchor"), "windows")
     drop(repeated)
-    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "pos"))
-    edges = windows.groupBy("node_in", "node_out").agg(first.alias("first"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("unknown"))
-    edges = materialize(
-        edges.where((F.col("most") > F.col("first.id")) | (F.col("unknown") & ~F.col("first.unknown"))).select("node_in", "node_out", F.col("first.id").alias("src"), F.col("first.pos").alias("src_pos")),
-        "edges",
+    # plain numbers alone, so that the states stay in one hash table
+    edges = windows.groupBy("node_in", "node_out").agg(
+        F.min("id").alias("src"), F.min_by("pos", F.when(~F.col("again"), F.col("id"))).alias("src_pos"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("unknown")
     )
+    edges = materialize(edges.where((F.col("most") > F.col("src")) | (F.col("unknown") & F.col("src").isNotNull())).select("node_in", "node_out", "src", "src_pos"), "edges")
     release(spark)
 
     ends = edges.select(F.col("node_in").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"), F.lit(None).cast(kind).alias("p_src"), F.lit(None).cast("int").alias("p_pos")).unionAll(
@@ -204,21 +191,25 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
     paths = chained.groupBy("src", "path").agg(F.count("*").alias("length")).withColumnRenamed("path", "src_start")
 
-    hit = windows.join(chained, ["node_in", "node_out"]).where(F.col("id").isNull() | (F.col("id") > F.col("src")))
-    places = hit.groupBy("id", "tid").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("places"))
-    spans = materialize(places.mapInArrow(_runs, f"id {kind}, tid long, start int, length int, src {kind}, src_start int"), "spans")
+    met = windows.join(chained, ["node_in", "node_out"]).where(F.col("id").isNull() | (F.col("id") > F.col("src")))
+    met = met.select("id", "tid", "src", "path", (F.col("pos") - F.col("src_pos")).alias("shift"), "pos")
+    # within one document, path and shift, places of one stretch have the same difference from their rank
+    stretch = F.col("pos") - F.dense_rank().over(W.partitionBy("id", "tid", "src", "path", "shift").orderBy("pos"))
+    spans = met.withColumn("stretch", stretch).groupBy("id", "tid", "src", "path", "shift", "stretch").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("length"))
+    spans = materialize(spans.select("id", "tid", "src", "path", "start", "length", (F.col("start") - F.col("shift")).alias("src_start")), "spans")
     drop(windows)
     release(spark)
     return spans, copies, paths
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR) -> DataFrame:
-    """One row per document row: id, n_words, n_removed, kept_sha256, kept_text."""
-    spans, copies, _ = repeated_spans(documents, id_col, text_col, k, anchor)
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, with_text: bool = True, **kw) -> DataFrame:
+    """One row per document row: id, n_words, n_removed, kept_sha256, and kept_text if asked for."""
+    spans, copies, _ = repeated_spans(documents, id_col, text_col, k, anchor, **kw)
     todo = spans.groupBy("id", "tid").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.lit(False).alias("copy"))
-    todo = todo.unionByName(copies.select("id", "tid", F.lit(None).cast(todo.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
-    todo = todo.toDF("todo_id", "todo_tid", "spans", "copy")
+    none = F.array().cast(todo.schema["spans"].dataType)
+    todo = todo.unionByName(copies.select("id", "tid", none.alias("spans"), F.lit(True).alias("copy")))
+    todo = small(materialize(todo.toDF("todo_id", "todo_tid", "spans", "copy"), "removals"))
     kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid"))
-    got = docs.join(todo, docs[id_col].eqNullSafe(todo["todo_id"]) & (docs["tid"] == todo["todo_tid"]), "left").select(id_col, "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return got.mapInArrow(_cut(k, id_col), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    docs = documents.select(F.col(id_col), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tid"))
+    got = docs.join(todo, docs[id_col].eqNullSafe(todo["todo_id"]) & (docs["tid"] == todo["todo_tid"]), "left").select(id_col, "text", F.coalesce("spans", none).alias("spans"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    return got.mapInArrow(_cut(k, id_col, with_text), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
