@@ -20,8 +20,9 @@ Only SQL functions run. Templates are a small table (their bands are broadcast a
 their number). Whatever meets no band ends in the scan; only candidates are joined with texts.
 
 Defined results: null or empty texts, and those of one word, have no license; templates of fewer than two
-words have no pairs and are never found. Repeated rows are
-repeated in the result. Rows with equal ids share their licenses.
+words have no pairs and are never found. Each input row has the licenses of its own text, whether its id is null or
+repeated; repeated rows are repeated in the result. An empty table gives an empty result. A very long text is one array
+of word hashes and its windows are made one after the other, so it takes some tens of bytes a word.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, only, small, text_key
 
 WINDOW, STRIDE, BANDS, MET, CONTAINMENT = 8, 4, 16, 3, 0.8
 #: Templates of fewer words are looked up by every pair.
 BANDED = 5
 #: Templates of so many pairs at most are told apart from similar ones.
 FEW_PAIRS = 16
-BROADCAST_BANDS, BROADCAST_IDS = 200_000, 2_000_000
 
 #: Fixed notices of well-known licenses.
 TEMPLATES = {
@@ -116,7 +116,7 @@ def _telling(forms: DataFrame, containment: float) -> DataFrame:
 
 
 def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, apart: bool = False) -> DataFrame:
-    """`templates` (license, text) to distinct (id, license, containment: the best of its windows)."""
+    """`templates` (license, text) to distinct (id, tid: the text's key, license, containment: the best of its windows)."""
     forms = templates.select("license", words("text").alias("tokens")).where(F.size("tokens") > 1)
     forms = materialize(forms.select("license", "tokens", _pairs(F.col("tokens")).alias("pairs"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")), "templates")
     shaped = _bands(forms.where(F.size("tokens") >= BANDED).select("license", F.inline(_window_arrays(F.col("h"), 1))), ["license"])
@@ -125,33 +125,30 @@ def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     single = single.select("license", F.lit(BANDS).alias("band"), "key", F.expr("shiftleft(1, i)").alias("bit"), "n_pairs")
     shaped = materialize(shaped.unionByName(single), "template_bands")
     kinds = {r["single"]: r["count"] for r in shaped.groupBy((F.col("band") == BANDS).alias("single")).count().collect()}  # two rows at most
-    few = sum(kinds.values()) <= BROADCAST_BANDS
-
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    hashed = docs.select("id", F.transform(words("text"), lambda x: F.xxhash64(x)).alias("h"))
-    met = _bands(hashed.select("id", F.inline(_window_arrays(F.col("h"), STRIDE))), ["id"], True in kinds)
-    met = met.join(F.broadcast(shaped) if few else shaped, ["band", "key"])
-    met = met.groupBy("id", "license", "at").agg(F.count("*").alias("bands"), F.bit_or("bit").alias("bits"), F.max("n_pairs").alias("n_pairs"))
-    met = met.where((F.col("bands") >= MET) | (F.col("bits") > 0)).groupBy("id", "license")
+
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("tid", text_key(F.col("text")))
+    hashed = docs.select("id", "tid", F.transform(words("text"), lambda x: F.xxhash64(x)).alias("h"))
+    met = _bands(hashed.select("id", "tid", F.inline(_window_arrays(F.col("h"), STRIDE))), ["id", "tid"], True in kinds)
+    met = met.join(small(shaped), ["band", "key"])
+    met = met.groupBy("id", "tid", "license", "at").agg(F.count("*").alias("bands"), F.bit_or("bit").alias("bits"), F.max("n_pairs").alias("n_pairs"))
+    met = met.where((F.col("bands") >= MET) | (F.col("bits") > 0)).groupBy("id", "tid", "license")
     met = met.agg(F.collect_set("at").alias("places"), F.bit_or("bits").alias("bits"), F.max("n_pairs").alias("n_pairs"))
     met = met.where(F.bit_count("bits") / F.greatest("n_pairs", F.lit(1)) >= F.when(F.col("n_pairs") > 0, containment).otherwise(0.0))
-    near = materialize(met.select("id", "license", "places"), "license_candidates")
+    near = materialize(met.select("id", "tid", "license", "places"), "license_candidates")
 
-    ids = near.select("id").distinct()
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(some, "id", "left_semi").select("id", words("text").alias("words"))
+    texts = only(docs, near.select("id", "tid").distinct(), "id", "text").select(F.col("id").alias("text_id"), F.col("tid").alias("text_tid"), words("text").alias("words"))
     shapes = forms.select("license", "pairs", F.size("tokens").alias("n"))
     if apart:
         shapes = materialize(shapes.join(_telling(forms, containment), "license", "left"), "template_pairs")
     else:
         shapes = shapes.withColumn("telling", F.lit(None).cast("array<string>"))
-    both = near.join(F.broadcast(shapes) if few else shapes, "license").join(texts, "id")
+    both = near.join(small(shapes), "license").join(texts, F.col("id").eqNullSafe(F.col("text_id")) & (F.col("tid") == F.col("text_tid")))
     local = F.transform("places", lambda at: _pairs(F.slice("words", F.greatest(F.lit(1), at - F.col("n")), F.lit(WINDOW) + 2 * F.col("n"))))
     if apart:
         local = F.filter(local, lambda x: F.col("telling").isNull() | (F.size(F.array_except("telling", x)) == 0))
     around = F.transform(local, lambda x: F.size(F.array_intersect(F.col("pairs"), x)) / F.size("pairs"))
-    found = both.select("id", "license", F.array_max(around).alias("containment")).where(F.col("containment") >= containment)
-    return found.groupBy("id", "license").agg(F.max("containment").alias("containment")).withColumnRenamed("id", id_col)
+    found = both.select("id", "tid", "license", F.array_max(around).alias("containment")).where(F.col("containment") >= containment)
+    return found.groupBy("id", "tid", "license").agg(F.max("containment").alias("containment")).withColumnRenamed("id", id_col)
 
 
 def template_table(spark) -> DataFrame:
@@ -160,7 +157,8 @@ def template_table(spark) -> DataFrame:
 
 def scan(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, apart: bool = False) -> DataFrame:
     """One row per document row: id, n_licenses, licenses (sorted, comma-joined), containment (the best; 0 if none)."""
-    found = matches(documents, templates, id_col, text_col, containment, apart).groupBy(id_col).agg(F.array_sort(F.collect_set("license")).alias("l"), F.max("containment").alias("c"))
-    found = found.withColumnRenamed(id_col, "found_id")
-    got = documents.select(id_col).join(found, F.col(id_col) == F.col("found_id"), "left")
+    found = matches(documents, templates, id_col, text_col, containment, apart).groupBy(id_col, "tid").agg(F.array_sort(F.collect_set("license")).alias("l"), F.max("containment").alias("c"))
+    found = found.toDF("found_id", "found_tid", "l", "c")
+    own = documents.select(F.col(id_col), text_key(F.col(text_col)).alias("own_tid"))
+    got = own.join(found, own[id_col].eqNullSafe(found["found_id"]) & (own["own_tid"] == found["found_tid"]), "left")
     return got.select(id_col, F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.concat_ws(",", "l"), F.lit("")).alias("licenses"), F.coalesce("c", F.lit(0.0)).alias("containment"))
