@@ -2,8 +2,8 @@
 
 Sources in code point order (null last) weigh 5, 2, 1, repeating. Targets share all words by
 weight; none exceeds `max_repeats` times its source, the excess being shared again by weight
-until none is above (solved at once: sources sorted by cap over weight, the level is where the
-rest can take what remains). Words are dealt in blocks of equal size, a sixteenth of the
+until none is above: the level of words a unit of weight rises, one aggregate over the sources a time, until no further
+source reaches its cap. Words are dealt in blocks of equal size, a sixteenth of the
 smallest target at most, so that every source comes within a few hundredths of its target.
 
 Blocks go to sources by highest quotients target / (2k + 1), then to the shards of each source
@@ -13,11 +13,17 @@ total / (N + n/2), so about 2n quotients are ranked, however many blocks there a
 (about 5,000 documents at most, by a hash of the id) lays its documents end to end in a seeded
 order and takes its blocks from the front, wholly round as often as they reach: no document
 exceeds `max_repeats` times its size. Only DataFrame operations; the largest sort group is one
-shard, so a hot source is many groups.
+shard, so a hot source is many groups. Sources may be many: up to `ONE_TASK` rows of sources or quotients (counted) are ranked by
+one task, more in sorted ranges that are each numbered from the rows before. The shards of one source, one row for 5,000 documents, are
+ranked together.
 
-Defined results: null texts have size 0 and are never taken; sources without words have target
-0. Rows with equal ids are mixed as separate rows, in the order of their sizes. An empty table
-gives an empty mix.
+`mixed` does not move texts: each shard is cut at one place of its seeded order, so a document needs only its shard's
+row of a small table.
+
+Defined results: null texts and texts without words have size 0 and are never taken; sources without words have target
+0. Rows with equal ids are mixed as separate rows, in the order of their sizes; in `mixed` those of a shard's cut are taken equally often. A null id is
+drawn by its text, so such rows spread over shards; equal ones are separate rows. An empty table
+gives an empty mix. A very long text is counted whole by one expression.
 """
 
 from __future__ import annotations
@@ -26,63 +32,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, small
 
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix-1"
 SHARD_DOCS, BLOCK_WORDS = 5_000, 1024
+#: Rows that a single task may sort.
+ONE_TASK = 100_000
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def apportion(claims: DataFrame, within: list[str], votes: str, seats: str, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str, most: int = ONE_TASK) -> DataFrame:
+    """Adds `name`: 1, 2, 3 along `order`, which has no ties."""
+    if df.count() <= most:
+        return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    laid = materialize(laid, "ranges")
+    sizes, before = sorted(map(tuple, laid.groupBy("_range").count().collect())), 0  # one row per partition
+    base = []
+    for part, n in sizes:
+        base += [F.lit(part), F.lit(before)]
+        before += n
+    return laid.withColumn(name, F.element_at(F.create_map(*base), F.col("_range")) + F.col("_at") + 1).drop("_range", "_at")
+
+
+def apportion(claims: DataFrame, within: list[str], votes: str, seats: str, order: list[str], most: int = ONE_TASK) -> DataFrame:
     """Adds `quota`: Sainte-Lague seats of each row among the rows with equal `within`.
 
     `seats` is a column that is constant within them. Ties go by `order`. Keys are not null.
     """
-    part = W.partitionBy(*within) if within else W.partitionBy()
     v, s = F.col(votes), F.col(seats)
-    total, n = F.sum(v).over(part), F.sum((v > 0).cast("long")).over(part)
+    if within:
+        part = W.partitionBy(*within)
+        over = lambda c: c.over(part)
+    else:
+        part = None
+        over = lambda c: F.lit(claims.agg(c).first()[0])
+    total, n = over(F.sum(v)), over(F.sum((v > 0).cast("long")))
     at = lambda level: F.when(v > 0, F.floor(v * level / total + 0.5)).otherwise(0).cast("long")
     bounds = claims.withColumn("_lo", F.greatest(at(s - n / 2) - 1, F.lit(0).cast("long"))).withColumn("_hi", at(s + n / 2) + 1)
-    bounds = bounds.withColumn("_left", s - F.sum("_lo").over(part))
+    left = F.sum("_lo").over(part) if within else F.lit(bounds.agg(F.sum("_lo")).first()[0])
+    bounds = bounds.withColumn("_left", s - left)
     keys = [*within, *order]
     ranked = bounds.where(v > 0).select(*keys, "_left", v.alias("_v"), F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).alias("_k"))
     ranked = ranked.withColumn("_q", F.col("_v") / (2 * F.col("_k") + 1))
-    place = F.row_number().over(part.orderBy(F.desc("_q"), *order))
-    won = ranked.withColumn("_place", place).where(F.col("_place") <= F.col("_left")).groupBy(*keys).agg(F.count("*").alias("_won"))
+    line = [F.desc("_q"), *order]
+    ranked = ranked.withColumn("_place", F.row_number().over(part.orderBy(*line))) if within else numbered(ranked, line, "_place", most)
+    won = ranked.where(F.col("_place") <= F.col("_left")).groupBy(*keys).agg(F.count("*").alias("_won"))
     return bounds.join(won, keys, "left").select(*claims.columns, (F.col("_lo") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per source: idx, source, docs, source_size, weight, target, block, blocks."""
-    table = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
-    idx = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
-    table = table.withColumn("idx", idx)
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, most: int = ONE_TASK) -> DataFrame:
+    """One row per source: idx, source, docs, source_size, target, block, blocks."""
+    table = materialize(sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"), F.col("source").isNull().alias("_unknown")), "source_sizes")
+    table = numbered(table, ["_unknown", "source"], "idx", most).withColumn("idx", F.col("idx") - 1)
     table = table.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("idx") % len(weights) + 1).cast("int")).cast("double"))
-    cap, every = (F.col("source_size") * max_repeats).cast("double"), W.partitionBy()
-    line = W.orderBy(cap / F.col("weight"), "idx")
-    total = F.sum("source_size").over(every).cast("double")
-    level = (total - F.coalesce(F.sum(cap).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(line.rowsBetween(0, W.unboundedFollowing))
-    table = table.withColumn("_level", level).withColumn("_rank", F.row_number().over(line))
-    fits = F.when(cap / F.col("weight") >= F.col("_level"), F.struct("_rank", "_level"))
-    table = table.withColumn("target", F.least(cap, F.col("weight") * F.min(fits).over(every)["_level"]))
-    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
-    table = table.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(least / 16))), F.lit(1)).cast("long"))
-    return table.select("idx", "source", "docs", "source_size", "target", "block", F.floor(F.sum("source_size").over(every) / F.col("block")).alias("blocks"))
-
-
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """One row per document row: id, size, source_size, target, taken."""
-    sizes = materialize(documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
-    sources = materialize(apportion(targets(sizes), [], "target", "blocks", ["idx"]).withColumnRenamed("quota", "source_blocks"), "sources")
-
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("draw")
-    dealt = sizes.select("id", "source", "size", draw).withColumnRenamed("source", "own_source")
-    dealt = dealt.join(F.broadcast(sources) if sources.count() <= 100_000 else sources, F.col("own_source").eqNullSafe(F.col("source")))
-    shards = F.ceil(F.col("docs") / SHARD_DOCS)
-    dealt = dealt.withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % shards)
+    table = materialize(table, "weighted_sources")
+    cap, weight = (F.col("source_size") * max_repeats).cast("double"), F.col("weight")
+    words, every = table.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, before = (words / every if words else 0.0), None
+    while level != before:
+        before = level
+        capped, light = table.where(cap / weight < level).agg(F.sum(cap), F.sum("weight")).first()
+        if light and light < every:
+            level = (words - capped) / (every - light)
+    target = F.least(cap, weight * level)
+    least = table.agg(F.min(F.when(target > 0, target))).first()[0]
+    block = max(1, min(BLOCK_WORDS, int(least // 16))) if least else 1
+    return table.select("idx", "source", "docs", "source_size", target.alias("target"), F.lit(block).cast("long").alias("block"), F.lit((words or 0) // block).cast("long").alias("blocks"))
+
+
+def _draw(seed: str, id_: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary"))
+
+
+def _shard(draw: Column, docs: Column) -> Column:
+    return F.conv(F.substring(draw, 1, 8), 16, 10).cast("long") % F.ceil(docs / SHARD_DOCS)
+
+
+def _laid(documents: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with id, size, draw, idx, shard, rounds, taken and their source's columns; sources with idx)."""
+    sizes = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _draw(seed, F.col(id_col), F.col(text_col)).alias("draw"))
+    sizes = materialize(sizes, "sizes")
+    claims = targets(sizes, most=most)
+    sources = materialize(apportion(claims, [], "target", "blocks", ["idx"], most).withColumnRenamed("quota", "source_blocks"), "sources")
+
+    dealt = sizes.withColumnRenamed("source", "own_source").join(small(sources), F.col("own_source").eqNullSafe(F.col("source")))
+    dealt = dealt.withColumn("shard", _shard(F.col("draw"), F.col("docs")))
     claims = dealt.groupBy("idx", "source_blocks", "block", "shard").agg(F.sum("size").alias("words"))
     claims = apportion(claims.withColumn("votes", F.col("words").cast("double")), ["idx"], "votes", "source_blocks", ["shard"])
     quota = claims.select(F.col("idx").alias("q_idx"), F.col("shard").alias("q_shard"), "words", F.least(F.col("quota") * F.col("block"), F.col("words") * MAX_REPEATS).alias("quota"))
@@ -92,16 +130,28 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rounds = F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("long")
     got = got.withColumn("before", before).withColumn("rounds", rounds).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("words"))
     taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("rest") - F.col("before"), F.col("size")))
-    return got.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return got.withColumn("taken", taken), sources
+
+
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, most: int = ONE_TASK) -> DataFrame:
+    """One row per document row: id, size, source_size, target, taken."""
+    got, _ = _laid(documents, id_col, text_col, source_col, seed, most)
+    return got.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The rows, with all their columns, as often as the mix takes them.
 
     Documents stay whole: of each shard at most one is taken in part, and its share is rounded.
-    Rows that repeat an id are taken equally often.
     """
-    got = mix(documents, id_col, text_col, source_col, seed).where("size > 0").groupBy(F.col(id_col).alias("_id"))
-    copies = materialize(got.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0"), "copies")
-    rows = documents.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.select(*documents.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*documents.columns)
+    got, sources = _laid(documents, id_col, text_col, source_col, seed, ONE_TASK)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    cuts = got.where("size > 0").groupBy("idx", "shard").agg(F.first("rounds").cast("int").alias("_rounds"), F.max(F.when(times > F.col("rounds"), F.col("draw"))).alias("_cut"))
+    cuts = small(materialize(cuts.select(F.col("idx").alias("_cut_idx"), F.col("shard").alias("_cut_shard"), "_rounds", "_cut"), "shard_cuts"))
+    known = small(sources.select(F.col("idx").alias("_idx"), F.col("source").alias("_source"), F.col("docs").alias("_docs")))
+    text = documents[text_col]
+    rows = documents.where(text.rlike(r"[^\x20\x09-\x0D]")).withColumn("_draw", _draw(seed, documents[id_col], text))
+    rows = rows.join(known, documents[source_col].eqNullSafe(known["_source"])).withColumn("_shard", _shard(F.col("_draw"), F.col("_docs")))
+    rows = rows.join(cuts, (F.col("_idx") == F.col("_cut_idx")) & (F.col("_shard") == F.col("_cut_shard")))
+    copies = F.col("_rounds") + F.coalesce((F.col("_draw") <= F.col("_cut")).cast("int"), F.lit(0))
+    return rows.select(*documents.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select(*documents.columns)
