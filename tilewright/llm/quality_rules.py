@@ -1,18 +1,21 @@
 """Quality rules: base rules, then robust multivariate outliers by language and source.
 
 Every text becomes a vector of transformed statistics. Per (language, source) the
-minimum-covariance-determinant estimate of its centre and scatter is found by C-steps: from a
-start of coordinate-wise medians and median deviations, keep the half of the documents with
-the smallest Mahalanobis distances, re-estimate, repeat. Each step is one grouped aggregate
-over all documents; a group's estimate is 20 numbers, so a hot source costs one partial
-aggregate per task. A document whose squared distance exceeds the cut-off is rejected.
+minimum-covariance-determinant estimate of its centre and scatter is found by C-steps: keep the half of the documents with
+the smallest Mahalanobis distances, re-estimate, repeat until the half no longer changes. There are 25 starts: medians with median deviations,
+and 24 seeded sets of six documents; the least determinant wins. Documents are dealt to pieces of about 2,000 by a hash of their id, and
+a group of one piece is estimated in one go. For larger groups the two best pieces' estimates go on with C-steps over all documents
+of the group, each step two grouped aggregates, until their determinants stand still: no task holds more than a piece. A document whose squared distance
+exceeds the cut-off is rejected.
 
-Groups of fewer than `min_group` documents borrow their language's estimate, and languages of
-fewer than that the whole table's. Scatter never falls below a floor per statistic, because
-most clean texts have exactly zero symbols, repeated lines and repeated words.
+Every group of more than six documents has its own estimate; the others of a language are one group together. An estimate of n documents is
+averaged with that of its language by n to 30, and a language's with that of all: small groups lean on larger ones
+by degrees. A language's estimate is its groups' centres and scatters, pooled. Scatter never falls below a floor per statistic, because
+most clean texts have exactly zero symbols, repeated lines and repeated words; determinants are of the floored scatter.
 
 Defined results: a null or empty text has no words and fails the base rules. Null languages
-and sources are groups of their own. Each input row gives one row, repeated rows included.
+and sources are values like any other. Null ids spread over pieces by their place in the table. Each input row gives one row, repeated rows included. Without a group of
+more than six documents, not even of all small ones of a language, the method rejects nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import materialize
+from ._store import materialize, small
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: The statistics, their transforms, and the least standard deviation of each. Where scatter is at its floor, seven times the
@@ -38,8 +42,13 @@ STATISTICS = {
     "s_repeats": ("sqrt(n_repeat_words / n_words)", 0.09),
 }
 #: Squared distance beyond which a document is rejected: seven deviations, far out for five Gaussian statistics (0.9999: 25.7).
-CUTOFF, MIN_GROUP, STEPS = 49.0, 200, 4
-BROADCAST_GROUPS = 50_000
+CUTOFF = 49.0
+#: Documents of a piece, random starts, most C-steps, and the documents that a parent's estimate counts for.
+PIECE, STARTS, STEPS, PRIOR = 2_000, 24, 30, 30
+#: The scatter of the nearest half of five Gaussian statistics times this is their scatter: 0.5 / P(chi2_7 <= median of chi2_5).
+CONSISTENCY = 1.913
+#: Distances are ranked in classes, 64 to a factor of e.
+CLASSES = 64
 
 
 def _statistics(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -99,75 +108,168 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 _NAMES = list(STATISTICS)
 _PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[i:]]
-#: Groups at three levels: (language, source), language, all.
-_LEVELS = [("struct(2 as level, lang, source)"), ("struct(1 as level, lang, cast(null as string) as source)"), ("struct(0 as level, cast(null as string) as lang, cast(null as string) as source)")]
+_P, _FLOOR = len(_NAMES), np.array([f for _, f in STATISTICS.values()])
+_UPPER = np.triu_indices(_P)
+_GROUP = "struct<lang:string,source:string,rest:boolean>"
+_ESTIMATE = f"g {_GROUP}, start int, n long, centre array<double>, scatter array<double>, score double"
 
 
-def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, n, centre, scatter: the upper triangle) to (g, n, centre, inverse: all of it), with the floors."""
-    p = len(_NAMES)
-    floors = np.array([f for _, f in STATISTICS.values()]) ** 2
-    upper = np.triu_indices(p)
-    for batch in batches:
-        inverses = []
-        for row in batch.column(3).to_pylist():
-            m = np.zeros((p, p))
-            m[upper] = [0.0 if x is None else x for x in row]
-            m = m + m.T - np.diag(np.diag(m))
-            value, vector = np.linalg.eigh(m / np.sqrt(np.outer(floors, floors)))
-            scaled = vector @ np.diag(1 / np.maximum(value, 1.0)) @ vector.T
-            inverses.append((scaled / np.sqrt(np.outer(floors, floors))).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(inverses, pa.list_(pa.float64()))], ["g", "n", "centre", "inverse"])
+def _inverse(scatter: np.ndarray) -> tuple[np.ndarray, float]:
+    """(inverse, logarithm of the determinant) of a scatter in units of the floors, none of its eigenvalues below one."""
+    value, vector = np.linalg.eigh(scatter)
+    value = np.maximum(value, 1.0)
+    return (vector / value) @ vector.T, float(np.log(value).sum())
+
+
+def mcd(x: np.ndarray, starts: int = STARTS, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centre, scatter, logarithm of its determinant) of rows in units of the floors, whatever their order."""
+    n = len(x)
+    x = x[np.lexsort(x.T[::-1])]
+    half = (n + _P + 1) // 2
+    middle = np.median(x, axis=0)
+    begin = [(middle, np.diag((1.4826 * np.median(abs(x - middle), axis=0)) ** 2))]
+    rng = np.random.default_rng(0)
+    for _ in range(starts):
+        few = x[rng.choice(n, _P + 1, replace=False)]
+        begin.append((few.mean(axis=0), np.cov(few.T, bias=True)))
+    best = None
+    for centre, scatter in begin:
+        before = None
+        for _ in range(steps):
+            away = x - centre
+            near = np.sort(np.argsort(((away @ _inverse(scatter)[0]) * away).sum(axis=1), kind="stable")[:half])
+            if before is not None and (near == before).all():
+                break
+            before = near
+            centre, scatter = x[near].mean(axis=0), CONSISTENCY * np.cov(x[near].T, bias=True)
+        score = _inverse(scatter)[1]
+        if best is None or score < best[2] - 1e-9:
+            best = (centre, scatter, score)
+    return best
+
+
+def _piece(table: pa.Table) -> pa.Table:
+    """The estimate of one piece of a group, if it has enough rows."""
+    x = np.stack([table.column(c).to_numpy() for c in _NAMES], axis=1) / _FLOOR
+    rows = []
+    if len(x) > _P + 1:
+        centre, scatter, score = mcd(x)
+        rows = [(table.column("g")[0].as_py(), table.column("piece")[0].as_py(), len(x), (centre * _FLOOR).tolist(), (scatter * np.outer(_FLOOR, _FLOOR))[_UPPER].tolist(), score)]
+    kind = pa.struct([("lang", pa.string()), ("source", pa.string()), ("rest", pa.bool_())])
+    types = [kind, pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["g", "start", "n", "centre", "scatter", "score"])
 
 
-_MODEL = "g struct<level:int,lang:string,source:string>, n long, centre array<double>, inverse array<double>"
+def _inverted(keep: list[str]):
+    """Adds `inverse` (all of it, floored) and `score` to rows with `scatter` (its upper triangle); null without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = np.outer(_FLOOR, _FLOOR)
+        for batch in batches:
+            inverses, scores = [], []
+            for row in batch.column("scatter").to_pylist():
+                if row is None or any(v is None for v in row):
+                    inverses.append(None)
+                    scores.append(None)
+                    continue
+                m = np.zeros((_P, _P))
+                m[_UPPER] = row
+                inverse, score = _inverse((m + m.T - np.diag(np.diag(m))) / scale)
+                inverses.append((inverse / scale).ravel().tolist())
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(inverses, pa.list_(pa.float64())), pa.array(scores, pa.float64())], [*keep, "inverse", "score"])
+
+    return run
 
 
 def _distance() -> F.Column:
-    p = len(_NAMES)
-    terms = [f"({a} - centre[{i}]) * ({b} - centre[{j}]) * inverse[{i * p + j}]" for i, a in enumerate(_NAMES) for j, b in enumerate(_NAMES)]
+    terms = [f"({a} - centre[{i}]) * ({b} - centre[{j}]) * inverse[{i * _P + j}]" for i, a in enumerate(_NAMES) for j, b in enumerate(_NAMES)]
     return F.expr(" + ".join(terms))
 
 
-def estimates(rows: DataFrame, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """Per group of at least `min_group` documents (the whole table always): n, centre, inverse scatter."""
-    long = rows.where("n_words > 0").select(*_NAMES, F.explode(F.array(*map(F.expr, _LEVELS))).alias("g"))
-    sizes = rows.where("n_words > 0").select(F.explode(F.array(*map(F.expr, _LEVELS))).alias("g")).groupBy("g").count()
-    sizes = materialize(sizes.where((F.col("count") >= min_group) | (F.col("g.level") == 0)).withColumnRenamed("count", "n"), "groups")
-    # one row a group: up to so many, the rows of a hot group stay where they are
-    few = sizes.count() <= BROADCAST_GROUPS
-    small = F.broadcast if few else (lambda df: df)
-    long = long.join(small(sizes.select("g")), "g", "left_semi")
-    middle = long.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in _NAMES])
-    spread = long.join(small(middle), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"d_{c}") for c in _NAMES])
-    start = middle.join(spread, "g").join(sizes, "g")
-    diagonal = [F.pow(F.col(f"d_{a}") * 1.4826, F.lit(2)) if a == b else F.lit(0.0) for a, b in _PAIRS]
-    model = start.select("g", "n", F.array(*[F.col(f"m_{c}").cast("double") for c in _NAMES]).alias("centre"), F.array(*diagonal).alias("scatter"))
-    model = materialize(model.mapInArrow(_inverted, _MODEL), "mcd_start")
-    for step in range(steps):
-        near = long.join(small(model), "g").withColumn("d", _distance())
-        half = near.groupBy("g").agg(F.percentile_approx("d", 0.5, 1000).alias("half"))
-        kept = near.join(small(half), "g").where("d <= half")
-        # the half with the smallest distances understates the scatter of five Gaussian statistics by this factor
-        scatter = F.array(*[F.covar_pop(a, b) * 2.08 for a, b in _PAIRS])
-        model = kept.groupBy("g").agg(F.first("n").alias("n"), F.array(*[F.avg(c) for c in _NAMES]).alias("centre"), scatter.alias("scatter"))
-        model = materialize(model.mapInArrow(_inverted, _MODEL), f"mcd_{step}")
-    return model
-
-
-def judge(documents: DataFrame, id_col: str = "doc_id", cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS, **columns) -> DataFrame:
-    """One row per document row: id, counts, base_failed, distance (null without words), kept."""
+def _whole_groups(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """C-steps over all `rows` (g, statistics) of large groups from `starts` (g, start, n, centre, scatter, score): the best of each group."""
+    keep = ["g", "start", "n", "centre", "scatter"]
+    schema = ", ".join(x for x in _ESTIMATE.split(", ") if not x.startswith("score")) + ", inverse array<double>, score double"
+    model = materialize(starts.select(*keep).mapInArrow(_inverted(keep), schema), "mcd_start")
+    for step in range(STEPS):
+        near = rows.join(small(model.select("g", "start", "n", "centre", "inverse")), "g")
+        near = near.withColumn("class", F.floor(F.ln(F.greatest(_distance(), F.lit(1e-12))) * CLASSES))
+        seen = near.groupBy("g", "start", "n", "class").agg(F.count("*").alias("rows"))
+        seen = seen.withColumn("upto", F.sum("rows").over(W.partitionBy("g", "start").orderBy("class")))
+        half = materialize(seen.where(F.col("upto") >= F.floor((F.col("n") + _P + 1) / 2)).groupBy("g", "start").agg(F.min("class").alias("last")), f"mcd_half_{step}")
+        kept = near.join(small(half), ["g", "start"]).where("class <= last")
+        moments = kept.groupBy("g", "start").agg(F.first("n").alias("n"), F.array(*[F.avg(c) for c in _NAMES]).alias("centre"), F.array(*[F.covar_pop(a, b) * CONSISTENCY for a, b in _PAIRS]).alias("scatter"))
+        after = materialize(moments.mapInArrow(_inverted(keep), schema), f"mcd_{step}")
+        was = model.select("g", "start", F.col("score").alias("was"))
+        moved = after.join(was, ["g", "start"]).agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+        model = after
+        if moved is None or moved < 1e-3:
+            break
+    best = model.groupBy("g").agg(F.min(F.struct("score", "start", "n", "centre", "scatter")).alias("b"))
+    return best.select("g", F.col("b.start").alias("start"), F.col("b.n").alias("n"), F.col("b.centre").alias("centre"), F.col("b.scatter").alias("scatter"), F.col("b.score").alias("score"))
+
+
+def _pooled(estimates: DataFrame, *keys: str) -> DataFrame:
+    """Groups' estimates to one: n, centre, and scatter within and between groups."""
+    mean = lambda e: F.sum(F.col("n") * e) / F.sum("n")
+    c = [F.col("centre")[i] for i in range(_P)]
+    places = [(i, j) for i in range(_P) for j in range(i, _P)]
+    within = [mean(F.col("scatter")[k]) + mean(c[i] * c[j]) - mean(c[i]) * mean(c[j]) for k, (i, j) in enumerate(places)]
+    return estimates.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*[mean(x) for x in c]).alias("centre"), F.array(*within).alias("scatter"))
+
+
+def _leaning(name: str, own: str, parent: str) -> F.Column:
+    """`name` of the own estimate averaged with the parent's by numbers of documents; whichever there is."""
+    w = F.col(f"{own}.n") / (F.col(f"{own}.n") + PRIOR)
+    both = F.zip_with(F.col(f"{own}.{name}"), F.col(f"{parent}.{name}"), lambda a, b: w * a + (1 - w) * b)
+    return F.coalesce(both, F.col(f"{own}.{name}"), F.col(f"{parent}.{name}")).alias(name)
+
+
+def estimates(rows: DataFrame, id_col: str = "doc_id", piece: int = PIECE) -> DataFrame:
+    """Per (lang, source) of `rows`: centre, inverse scatter; null where nothing can be estimated."""
+    base = rows.where("n_words > 0")
+    groups = base.groupBy("lang", "source").agg(F.count("*").alias("own_n"))
+    rest = F.col("own_n") <= _P + 1
+    groups = groups.withColumn("g", F.struct("lang", F.when(~rest, F.col("source")).alias("source"), rest.alias("rest")))
+    groups = materialize(groups, "groups")
+    totals = groups.groupBy("g").agg(F.sum("own_n").alias("total"), F.ceil(F.sum("own_n") / piece).alias("pieces"))
+    groups = materialize(groups.join(totals, "g").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g", "total", "pieces"), "group_sizes")
+
+    salt = F.coalesce(F.col(id_col).cast("string"), F.monotonically_increasing_id().cast("string"))
+    placed = base.select("lang", "source", F.xxhash64(salt).alias("salt"), *_NAMES)
+    placed = placed.join(small(groups), placed["lang"].eqNullSafe(F.col("g_lang")) & placed["source"].eqNullSafe(F.col("g_source")))
+    placed = materialize(placed.select("g", "total", "pieces", F.pmod("salt", "pieces").cast("int").alias("piece"), *_NAMES), "pieces")
+    found = materialize(placed.drop("total", "pieces").groupBy("g", "piece").applyInArrow(_piece, _ESTIMATE), "piece_estimates")
+    sizes = groups.select("g", "total", "pieces").distinct()
+    found = found.join(sizes, "g").withColumn("n", F.col("total"))
+    names = ["g", "start", "n", "centre", "scatter", "score"]
+    one = found.where("pieces = 1").select(*names)
+    rank = F.row_number().over(W.partitionBy("g").orderBy("score", "start"))
+    two = materialize(found.where("pieces > 1").withColumn("rank", rank).where("rank <= 2").select(*names), "group_starts")
+    if not two.isEmpty():
+        one = one.unionByName(_whole_groups(placed.where("pieces > 1").select("g", *_NAMES), two))
+    one = materialize(one.select("g", "n", "centre", "scatter"), "group_estimates")
+
+    langs = materialize(_pooled(one.withColumn("lang", F.col("g.lang")), "lang"), "language_estimates")
+    every = _pooled(langs.withColumn("all", F.lit(0)), "all")
+    pack = lambda df, name, *keys: df.select(*keys, F.struct("n", "centre", "scatter").alias(name))
+    above = groups.join(F.broadcast(pack(every, "top", "all")), F.lit(0) == F.col("all"), "left")  # one row at most
+    langs = small(pack(langs, "mid", F.col("lang").alias("m_lang")))
+    above = above.join(langs, above["g_lang"].eqNullSafe(F.col("m_lang")), "left")
+    middle = F.struct(F.col("mid.n").alias("n"), _leaning("centre", "mid", "top"), _leaning("scatter", "mid", "top"))
+    full = above.withColumn("mid", middle).join(pack(one, "own", "g"), "g", "left")
+    full = full.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), _leaning("centre", "own", "mid"), _leaning("scatter", "own", "mid"))
+    keep = ["lang", "source", "centre", "scatter"]
+    return full.mapInArrow(_inverted(keep), "lang string, source string, centre array<double>, scatter array<double>, inverse array<double>, score double")
+
+
+def judge(documents: DataFrame, id_col: str = "doc_id", cutoff: float = CUTOFF, piece: int = PIECE, **columns) -> DataFrame:
+    """One row per document row: id, counts, base_failed, distance (null without words or estimate), kept."""
     rows = materialize(statistics(documents, id_col, **columns), "statistics")
-    model = estimates(rows, min_group, steps)
-    few = model.count() <= BROADCAST_GROUPS
-    got = rows
-    for level, keys in ((2, ["lang", "source"]), (1, ["lang"])):
-        known = model.where(F.col("g.level") == level).select(*[F.col(f"g.{k}").alias(f"k{level}_{k}") for k in keys], F.struct("centre", "inverse").alias(f"model{level}"))
-        got = got.join(F.broadcast(known) if few else known, [got[k].eqNullSafe(known[f"k{level}_{k}"]) for k in keys], "left")
-    every = model.where(F.col("g.level") == 0).first()  # one row
-    fall = [F.array(*map(F.lit, every[c])) if every else F.lit(None).cast("array<double>") for c in ("centre", "inverse")]
-    got = got.withColumn("model", F.coalesce("model2", "model1", F.struct(fall[0].alias("centre"), fall[1].alias("inverse"))))
-    got = got.select("*", F.col("model.centre").alias("centre"), F.col("model.inverse").alias("inverse"))
+    model = estimates(rows, id_col, piece).select(F.col("lang").alias("m_lang"), F.col("source").alias("m_source"), "centre", "inverse")
+    model = small(materialize(model, "models"))
+    got = rows.join(model, rows["lang"].eqNullSafe(model["m_lang"]) & rows["source"].eqNullSafe(model["m_source"]), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     got = got.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), _distance().alias("distance"))
     return got.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
