@@ -1,8 +1,11 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .url_filters import SUFFIXES
+
 MIXING = r"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS draw FROM documents
 ), s0 AS (
   SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
 ), s1 AS (
@@ -28,7 +31,7 @@ WITH sizes AS (
 ), s6 AS (
   SELECT s5.*, coalesce(won, 0) AS source_blocks, ceil(docs / 5000)::BIGINT AS shards FROM s5 LEFT JOIN w1 USING (idx)
 ), dealt AS (
-  SELECT d.doc_id, d.size, s6.*, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM sizes d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
+  SELECT d.doc_id, d.size, d.draw, s6.* FROM sizes d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
 ), dealt2 AS (
   SELECT *, ('0x' || draw[1:8])::BIGINT % shards AS shard FROM dealt
 ), cl AS (
@@ -62,10 +65,16 @@ WITH parts AS (
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM urls
 ), verdicts AS (
   SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS rv FROM ruled
+), labelled AS (
+  SELECT doc_id, max(CASE quality WHEN 0 THEN 1 WHEN 1 THEN 0 END) AS label FROM labels GROUP BY doc_id
+), outcomes AS (
+  SELECT v.*, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS site, CASE WHEN rule IS NOT NULL THEN (rv = 'block')::INT ELSE label END AS bad
+  FROM verdicts v LEFT JOIN labelled ON TRY_CAST(regexp_extract(path, '/([0-9]{1,18})', 1) AS BIGINT) = labelled.doc_id
+), sites AS (
+  SELECT site AS host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, array_to_string(list_slice(string_split(site, '.'), -2, -1), '.') AS two FROM outcomes GROUP BY site
 ), hosts AS (
-  SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (rv = 'block')::DOUBLE AS bad,
-    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM verdicts GROUP BY host
+  SELECT host, n, bad, CASE WHEN two IN (SUFFIXES) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
+    CASE WHEN two IN (SUFFIXES) THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM sites
 ), t AS (SELECT sum(n) AS N0, sum(bad) AS Y0 FROM hosts),
 l1 AS (SELECT *, (Y0 - bad + 0.5) / (N0 - n + 1) AS m FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix), t),
 k1 AS (SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l1),
@@ -76,9 +85,9 @@ l2 AS (
 l3 AS (SELECT h.host, h.n, h.bad, (l2.bad - h.bad + k * l2.m) / (l2.n - h.n + k) AS m FROM hosts h JOIN l2 USING (domain), k2),
 k3 AS (SELECT 1 / coalesce(greatest(0.001, least(0.5, (sum((bad - n*m) * (bad - n*m)) - sum(n * (m * (1-m)))) / nullif(sum(n * (n-1) * (m * (1-m))), 0))), 0.5) - 1 AS k FROM l3),
 r3 AS (SELECT host, (bad + k * m) / (n + k) AS rate, n + k AS size FROM l3, k3)
-SELECT page_id, host, path, rule,
+SELECT page_id, outcomes.host, path, rule,
   coalesce(rv, CASE WHEN rate - 2.0 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM verdicts JOIN r3 USING (host)
-"""
+FROM outcomes JOIN r3 ON site = r3.host
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in SUFFIXES))
 
 ORACLE_SQL = {"op3_mixing": MIXING, "op7_url_filters": URL_FILTERS}

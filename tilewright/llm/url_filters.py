@@ -2,20 +2,22 @@
 
 A rule is a host and a path prefix; it fits that host and its subdomains, and the longest
 fitting rule decides. A page that no rule fits is judged by its host. Outcomes are labelled
-pages: bad is 1 where the labels (in the registered query: the rules) block the page. Beta-binomial
+pages: where a rule fits, whether it blocks; elsewhere what a table of labels says of the page. Pages without either are
+no outcomes. Beta-binomial
 priors shrink each host's rate to that of the other hosts of its registered domain, these to the
 other domains of its suffix, and those to all other pages: no page counts twice. The strength of
 each prior is estimated from the data: with m a group's prior rate, excess dispersion rho = (sum (y - n m)^2 - sum n m (1-m)) / sum n (n-1) m (1-m), kept
 within [0.001, 0.5], and strength 1/rho - 1. A page is blocked if the posterior mean less two
-posterior deviations of its host exceeds one half: only a host that is surely bad is lost.
+posterior deviations of its host exceeds one half: only a host that is surely bad is lost. A host without outcomes has its prior.
 
-The suffix is the last label, the registered domain the last two; `suffixes` names others
-(such as co.uk) of two labels. Hosts are grouped before anything is joined, so a host with a
+The suffix is the last label, the registered domain one label more; `suffixes` names others, such as co.uk, below which
+names have different owners. Reputation knows hosts without user and port. Hosts are grouped before anything is joined, so a host with a
 third of all pages is one row per task in the aggregates; pages meet reputations in a join
 whose page side Spark may split.
 
 Defined results: a null url or one without `://` has empty host and path, no rule, and is judged
-as the host ''. Labels may be missing. Each input row gives one row.
+as the host ''. Labels may be missing, and a label that is null is none. Each input row gives one row, repeated rows and null ids
+included. An empty table gives an empty result. A very long url is handled whole.
 """
 
 from __future__ import annotations
@@ -29,6 +31,13 @@ from ._store import materialize
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DEVIATIONS, LINE = 2.0, 0.5
 BROADCAST_RULES = 50_000
+#: Fixed suffixes of two labels: public ones, and those under which the reserved names stand for different owners.
+SUFFIXES = (
+    *("ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au", "co.nz", "org.nz"),
+    *("ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "co.kr", "or.kr", "com.cn", "net.cn", "org.cn", "com.tw", "com.hk", "co.in", "com.sg"),
+    *("com.br", "net.br", "org.br", "com.ar", "com.mx", "com.co", "com.pe", "co.za", "org.za", "com.tr", "co.il", "com.ua", "com.pl"),
+    *("example.com", "example.net", "example.org"),
+)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,19 +102,31 @@ def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFram
     return own.select("host", "n", "rate", "strength", bound.alias("bound"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, suffixes: tuple[str, ...] = ()) -> DataFrame:
+def page_number(path: Column) -> Column:
+    """The first number that stands alone at the head of a part of the path: which text the page shows."""
+    return F.regexp_extract(path, r"/([0-9]{1,18})", 1).try_cast("long")
+
+
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, label_key=page_number, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row per page row: id, host, path, rule, verdict, bound.
 
-    `rules`: (rule, verdict). `labels`: (host, n, bad); without it the rules' own verdicts are
-    the outcomes, a page that no rule blocks counting as good.
+    `rules`: (rule, verdict). `labels`: (key, bad: 1 or 0), of pages that no rule fits; `label_key` makes the key of a page from its path.
     """
     host, path = url_parts(F.col(url_col))
     rows = materialize(pages.select(F.col(id_col), host.alias("host"), path.alias("path")), "urls")
     places = rows.groupBy("host", "path").agg(F.count("*").alias("pages"))
     ruled = with_rules(places.select("host", "path"), rules)
-    ruled = materialize(places.join(ruled, ["host", "path"]), "ruled")
-    if labels is None:
-        labels = ruled.groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.when(F.col("rule_verdict") == "block", F.col("pages")).otherwise(0)).alias("bad"))
-    known = ruled.select("host", "path", "rule", "rule_verdict").join(reputations(labels, suffixes).select("host", "bound"), "host", "left")
+    ruled = places.join(ruled, ["host", "path"])
+    bad = F.when(F.col("rule").isNotNull(), (F.col("rule_verdict") == "block").cast("int"))
+    if labels is not None:
+        labels = labels.toDF("label_key", "label").groupBy("label_key").agg(F.max("label").alias("label"))
+        ruled = ruled.join(labels, label_key(F.col("path")) == F.col("label_key"), "left")
+        bad = F.coalesce(bad, F.col("label").cast("int"))
+    site = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
+    ruled = materialize(ruled.select("host", "path", "pages", "rule", "rule_verdict", bad.alias("bad"), site.alias("site")), "ruled")
+    known = F.when(F.col("bad").isNotNull(), F.col("pages")).otherwise(0)
+    outcomes = ruled.groupBy("site").agg(F.sum(known).alias("n"), F.sum(known * F.coalesce("bad", F.lit(0))).alias("bad"))
+    bounds = reputations(outcomes.withColumnRenamed("site", "host"), suffixes).select(F.col("host").alias("site"), "bound")
+    judged = ruled.select("host", "path", "rule", "rule_verdict", "site").join(bounds, "site", "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("bound") > LINE, "block").otherwise("allow"))
-    return rows.join(known, ["host", "path"], "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), "bound")
+    return rows.join(judged, ["host", "path"], "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), "bound")
