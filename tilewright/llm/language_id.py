@@ -6,12 +6,14 @@ bundles its trigrams' vectors, each weighted by ln(1 + count); a language bundle
 unit vectors. A text goes to the language whose prototype, less the mean of all prototypes, has
 the largest cosine with it; the score is the softmax of these cosines.
 
-Prototypes are fitted on a bounded sample, `per_language` labelled texts of each language (a
-hash of the id chooses them); what reaches the driver is one vector per language. Prediction
+Prototypes are fitted on a bounded sample, about `per_language` labelled texts of each language (a
+hash of id and text chooses them); what reaches the driver is one vector per language. Prediction
 runs over every whole text.
 
 Defined results: a null text or one without a letter is `und` with score 0. Without any
-labelled text every text is `und`. Repeated rows are repeated in the result.
+labelled text every text is `und`. A null id counts as the empty text for the folds, so such rows are held out; each is predicted. Repeated
+rows are repeated in the result. An empty table gives an empty result. `accepted` decides row by row, by the text alone. A very long text is
+handled whole, in memory of some tens of bytes a character. Bytes that are not UTF-8 are signs without letters.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ class Trigrams:
         """Unit vectors of texts, one a row; zero for a text without letters."""
         fold, found = _fold(), []
         for i in range(t.hi - t.lo):
-            codes = np.frombuffer(t.text(i).decode().encode("utf-32-le"), "<u4")
+            codes = np.frombuffer(t.text(i).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
             x = np.concatenate([[_GAP], fold[codes], [_GAP]]).astype(np.uint64)
             mid = x[1:-1] != _GAP
             key = (x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:]
@@ -135,7 +137,7 @@ def prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, p
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, per_language / n)]) if counts else F.lit(None).cast("map<string,double>")
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < share[F.col(lang_col)]).select(F.col(text_col), F.col(lang_col))
     sums = sample.mapInArrow(_learn(dimensions), "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     names = sorted({r["lang"] for r in sums})

@@ -13,7 +13,8 @@ bounded table per worker. Texts with characters whose class could differ between
 engines, or with a special token's string, go through the tokenizer whole.
 
 Defined results: a null or empty text is its end id alone. Rows with equal ids are ordered by
-a hash of the text and all are written. Null ids come first. An empty table gives no blocks.
+a hash of the text and all are written. Null ids come first. An empty table gives no blocks. A very long text is
+one document of one block, tokenized whole.
 """
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ class Encoder:
             ids, edges = np.zeros(0, self.dtype), np.zeros(n + 1, np.int64)
         unsure = _unsure(t, self.specials)
         if unsure.any():
-            own = [np.array(self.tokenizer.encode(t.text(i).decode(), add_special_tokens=False).ids, self.dtype) if unsure[i] else ids[edges[i] : edges[i + 1]] for i in range(n)]
+            own = [np.array(self.tokenizer.encode(t.text(i).decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype) if unsure[i] else ids[edges[i] : edges[i + 1]] for i in range(n)]
             ids, edges = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
         counts = np.diff(edges) + 1
         out = np.full(int(counts.sum()), END_ID, self.dtype)
