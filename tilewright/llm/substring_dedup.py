@@ -113,20 +113,20 @@ def _joined(w: _text.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(k: int, name: str, text: bool):
-    """Remove covered words: (id, text, spans, copy) to the digest columns, and the kept text if asked for."""
+    """Remove covered words: (id, text, ranges, copy) to the digest columns, and the kept text if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, copies = batch.column(2), np.asarray(batch.column(3))
-            edge = spans.offsets.to_numpy()
-            start, length = (spans.values.field(c).to_numpy().astype(np.int64) for c in ("start", "length"))
+            ranges, copies = batch.column(2), np.asarray(batch.column(3))
+            edge = ranges.offsets.to_numpy()
+            start, end = (ranges.values.field(c).to_numpy().astype(np.int64) for c in ("start", "end"))
             for t in _text.split_texts(batch.column(1)):
                 w = _text.words_of(t, _text.NOT_SPACE)
                 n, these = t.hi - t.lo, slice(edge[t.lo], edge[t.hi])
-                first = np.repeat(w.first[:-1], np.diff(edge[t.lo : t.hi + 1])) + start[these]
+                first = np.repeat(w.first[:-1], np.diff(edge[t.lo : t.hi + 1]))
                 step = np.zeros(len(w.start) + 1, np.int32)
-                np.add.at(step, first, 1)
-                np.add.at(step, first + length[these] + k - 1, -1)
+                np.add.at(step, first + start[these], 1)
+                np.add.at(step, first + end[these], -1)
                 gone = np.cumsum(step[:-1]) > 0
                 gone |= np.repeat(copies[t.lo : t.hi] & (w.counts >= k), w.counts)
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
@@ -205,11 +205,17 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, with_text: bool = True, **kw) -> DataFrame:
     """One row per document row: id, n_words, n_removed, kept_sha256, and kept_text if asked for."""
     spans, copies, _ = repeated_spans(documents, id_col, text_col, k, anchor, **kw)
-    todo = spans.groupBy("id", "tid").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.lit(False).alias("copy"))
-    none = F.array().cast(todo.schema["spans"].dataType)
-    todo = todo.unionByName(copies.select("id", "tid", none.alias("spans"), F.lit(True).alias("copy")))
-    todo = small(materialize(todo.toDF("todo_id", "todo_tid", "spans", "copy"), "removals"))
+    # words covered, as few ranges a document as can be: spans that meet or overlap are one
+    words = spans.select("id", "tid", "start", (F.col("start") + F.col("length") + k - 1).alias("end"))
+    line = W.partitionBy("id", "tid").orderBy("start", "end")
+    reached = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
+    words = words.withColumn("opens", F.when(reached >= F.col("start"), 0).otherwise(1)).withColumn("nth", F.sum("opens").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    todo = words.groupBy("id", "tid", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    todo = todo.groupBy("id", "tid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"), F.lit(False).alias("copy"))
+    none = F.array().cast(todo.schema["ranges"].dataType)
+    todo = todo.unionByName(copies.select("id", "tid", none.alias("ranges"), F.lit(True).alias("copy")))
+    todo = small(materialize(todo.toDF("todo_id", "todo_tid", "ranges", "copy"), "removals"))
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tid"))
-    got = docs.join(todo, docs[id_col].eqNullSafe(todo["todo_id"]) & (docs["tid"] == todo["todo_tid"]), "left").select(id_col, "text", F.coalesce("spans", none).alias("spans"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    got = docs.join(todo, docs[id_col].eqNullSafe(todo["todo_id"]) & (docs["tid"] == todo["todo_tid"]), "left").select(id_col, "text", F.coalesce("ranges", none).alias("ranges"), F.coalesce("copy", F.lit(False)).alias("copy"))
     return got.mapInArrow(_cut(k, id_col, with_text), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
