@@ -234,7 +234,7 @@ def _write(shared, kind: pa.DataType):
         k = before = held = 0
         names, parts, counts = [], [], []
         for batch in batches:
-            for t in _text.split_texts(batch.column(1), 1_000_000):
+            for t in _text.split_texts(batch.column(1), 500_000):
                 ids, each = encode(t)
                 names.append(batch.column(0).slice(t.lo, t.hi - t.lo).cast(kind))
                 parts.append(ids)
@@ -265,6 +265,9 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
 
 def _read(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        global _encoder
+        _encoder = None  # reading needs none; its table would stay with the worker
+        _text.release_memory()
         for batch in batches:
             for row in range(batch.num_rows):
                 b = {c: batch.column(c)[row].as_py() for c in ("base", "before", "id_bytes", "ids", "n_docs", "low_width", "low", "high", "samples")}
