@@ -1,5 +1,6 @@
 import json
 import math
+import os
 from dataclasses import replace
 
 import pytest
@@ -101,8 +102,38 @@ def test_builds_on_first_query(spark, small):
     index = TiledIndex(rows, replace(queries.L, bounds=None), replace(queries.CONFIG, grid=4), "full")
     near(index.answer(queries.FLAGSHIP).groups, direct.answer(rows, queries.L, queries.FLAGSHIP).groups, ["l_returnflag"])
     assert index.built and index.total_utility > 0
+    size = index.size()
+    assert size["cube_bytes"] > 0 and size["points_bytes"] > size["cube_bytes"] / 100
+    one = next(t for t in index.tiles.values() if t.rows)
+    kept = index.readout(one.id).collect()
+    assert sum(r["rows"] for r in kept) == one.rows and all(r["n"] <= r["rows"] for r in kept)
+    assert index.readout().select("tile_id").distinct().count() == sum(t.rows > 0 for t in index.tiles.values())
+    paths = [df._tilewright_path.removeprefix("file:") for df in (index.clustered, index.cube)]
+    assert all(os.path.isdir(p) for p in paths)
     index.close()
-    assert not index.built
+    assert not index.built and not any(os.path.exists(p) for p in paths)
+
+
+def test_indexed_plan_has_one_scan_of_points_and_one_of_states(spark, small):
+    index = TiledIndex(queries.lineitem(spark, small), queries.L, replace(queries.CONFIG, grid=8), "full").build(queries.FLAGSHIP)
+    got = index.answer(queries.FLAGSHIP)
+    for df in (got.groups, got.total):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= 2 and "NestedLoop" not in plan and "Join" not in plan
+    assert index.rows_read(queries.FLAGSHIP) <= got.metrics["rows_scanned"]
+    assert len(index.children("0")) == 0 and index.changes == {"split": 0, "expanded": 0}
+
+
+def test_one_of_two_measures_from_states(spark, small):
+    """States answer a chosen measure where no row of the tile has but one of the two."""
+    df = spark.read.parquet(f"{small}/lineitem.parquet")
+    for spoil in (False, True):
+        rows = direct.prepare(df.withColumn("l_tax", F.when(F.lit(not spoil) | (F.col("l_orderkey") % 7 != 0), F.col("l_tax"))), queries.L)
+        index = TiledIndex(rows, queries.L, replace(queries.CONFIG, grid=8), "full").build(queries.FLAGSHIP)
+        for measure in ("l_tax", "l_discount"):
+            q = replace(queries.FLAGSHIP, measure=measure)
+            near(index.answer(q).groups, direct.answer(rows, queries.L, q).groups, ["l_returnflag"])
+            assert bool(index.plan(q).states) != spoil
 
 
 def test_empty_table(spark):
@@ -135,11 +166,14 @@ def test_command_line(spark, tmp_path, capsys):
     rows = cli.main(["timeQueries", *common, "--seqCount", "3", "--maxFilters", "1", "--minFilters", "1", "--out", log, "--adapt"], spark)
     assert len(rows) == 3 and report.read(spark, "queries", log).count() == 3
     assert json.loads(rows[0]["result"])[0]["n"] > 0
+    assert all(r["rows_read"] <= r["rows_scanned"] for r in rows)
+    assert cli.main(["timeQueries", *common, "--seqCount", "1", "--catBudget", "0", "--adapt"], spark)[0]["expanded_nodes"] == 4
     for command, kind in (("timeInitialization", "initialization"), ("timeAssignmentTime", "assignment"), ("computeUtils", "utility")):
         cli.main([command, *common, "--catBudget", "0.0001", "--out", f"{log}-{kind}"], spark)
         assert report.read(spark, kind, f"{log}-{kind}").count() == 1
     dummy = [x for x in common if x not in ("--csv", data)]
     assert cli.main(["timeAssignmentTime", *dummy, "--objCount", "1000", "--initMode", "full"], spark)[0]["utility"] > 0
+    assert cli.main(["findDomains", *common, "--sample", "500"], spark) == {"c2": 10, "c3": 10}
     lo, hi = cli.main(["findBounds", *common], spark).split(",")[0].split(":")
     assert 0 <= float(lo) < 5 and 995 < float(hi) < 1000
     with pytest.raises(ValueError):

@@ -9,21 +9,23 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .operators import direct
+from .operators import direct, stats
 from .operators.index import TiledIndex
 from .plans import policies, session
 from .plans.catalog import layout_for, with_attrs
 from .plans.policies import Attr, Interest, Planner, budget_for
 from .plans.spec import DatasetSpec, IndexConfig, WindowQuery, format_query, parse_filters, parse_rectangle
 from .sources import report, tables
+from .sources.storage import delete, stored_bytes, written
 
-#: Bytes that one state of the cube takes: ten numbers, an extent, a path and its keys.
+#: Bytes of a state where no table is there to measure: ten numbers, an extent, a path and its keys.
 STATE_BYTES = 200
+SAMPLE_ROWS = 10_000
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tilewright")
-    p.add_argument("command", choices=["timeQueries", "timeInitialization", "timeAssignmentTime", "computeUtils", "findBounds", "synth10", "synth50"])
+    p.add_argument("command", choices=["timeQueries", "timeInitialization", "timeAssignmentTime", "computeUtils", "findBounds", "findDomains", "synth10", "synth50"])
     p.add_argument("--csv", help="the table: a delimited file")
     p.add_argument("--out", help="where a log or a table goes")
     p.add_argument("--columns", type=int, help="how many columns the file has")
@@ -53,6 +55,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--cardinality", type=int, default=10)
     p.add_argument("--rows", type=int, help="rows of a synthetic table")
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--sample", type=int, help="take domains from so many rows")
+    p.add_argument("--directions", default="synth", choices=list(session.DIRECTION_WEIGHTS))
     p.add_argument("--adapt", action="store_true", help="adapt the index after each query")
     return p
 
@@ -89,6 +93,18 @@ def _index(spark: SparkSession, a: argparse.Namespace, budget: float) -> TiledIn
     return TiledIndex(rows, spec, IndexConfig(grid=a.gridSize), a.initMode, budget, a.binCount, a.sort, a.seed)
 
 
+def state_bytes(spark: SparkSession, a: argparse.Namespace) -> float:
+    """Bytes of a stored state, measured on the states of some rows of the table."""
+    spec = _spec(a)
+    if not a.csv or not spec.cats:
+        return STATE_BYTES
+    rows = direct.prepare(tables.read_csv(spark, a.csv, spec).limit(SAMPLE_ROWS), spec)
+    states = written(stats.aggregate(rows, list(spec.cats)), "state_sample")
+    n, size = states.count(), stored_bytes(states)
+    delete(states)
+    return max(size / n, 1.0) if n else STATE_BYTES
+
+
 def _planner(spark: SparkSession, a: argparse.Namespace, config: IndexConfig) -> tuple[Planner, list]:
     """Without a table: dummy domains of one cardinality."""
     if a.csv:
@@ -104,21 +120,22 @@ def _planner(spark: SparkSession, a: argparse.Namespace, config: IndexConfig) ->
 def time_queries(spark: SparkSession, a: argparse.Namespace, budget: float) -> list[dict]:
     index, q0, log = _index(spark, a, budget), _first(a), []
     queries = session.generate(
-        q0, a.seqCount, index.spec, tables.domains(index.rows, list(index.spec.cats)), a.minShift, a.maxShift, a.minFilters, a.maxFilters, a.zoomFactor, seed=a.seed
+        q0, a.seqCount, index.spec, tables.domains(index.rows if a.sample is None else index.rows.limit(a.sample), list(index.spec.cats)), a.minShift, a.maxShift, a.minFilters, a.maxFilters, a.zoomFactor, a.directions, seed=a.seed
     )
     for i, q in enumerate(queries):
         began = time.time()
         answer = index.answer(q, q0)
         result = [r.asDict() for r in answer.groups.collect()]  # groups of one window
-        seconds, c = time.time() - began, answer.metrics
+        seconds, c, now = time.time() - began, answer.metrics, index
+        if a.adapt:
+            index = index.adapt(q)
+        grown = {"split": 0, "expanded": 0} if index is now else index.changes
         log.append(
             _run_columns(a, budget)
-            | {"session": a.seed, "query_no": i, "query": format_query(q), "utility": index.total_utility, "states": index.cube.count(), "leaf_tiles": c["tiles"]}
-            | {"overlapped_tiles": c["overlapped"], "contained_tiles": c["contained"], "expanded_nodes": c["expandable"], "rows_scanned": c["rows_scanned"]}
+            | {"session": a.seed, "query_no": i, "query": format_query(q), "utility": now.total_utility, "states": now.cube.count(), "leaf_tiles": c["tiles"]}
+            | {"overlapped_tiles": c["overlapped"], "contained_tiles": c["contained"], "expanded_nodes": grown["expanded"], "split_tiles": grown["split"], "rows_scanned": c["rows_scanned"], "rows_read": now.rows_read(q)}
             | {"seconds": seconds, "result": json.dumps(result)}
         )
-        if a.adapt:
-            index = index.adapt(q)
     if a.out:
         report.append(spark, "queries", log, a.out)
     return log
@@ -128,7 +145,7 @@ def time_initialization(spark: SparkSession, a: argparse.Namespace, budget: floa
     began = time.time()
     index = _index(spark, a, budget).build(_first(a))
     seconds, size = time.time() - began, index.size()
-    log = [_run_columns(a, budget) | {"sort": a.sort, "seconds": seconds, "utility": size["utility"], "leaf_tiles": size["leaf_tiles"], "states": size["states"]}]
+    log = [_run_columns(a, budget) | {"sort": a.sort, "seconds": seconds, "utility": size["utility"], "leaf_tiles": size["leaf_tiles"], "states": size["states"], "cube_bytes": size["cube_bytes"], "points_bytes": size["points_bytes"]}]
     if a.out:
         report.append(spark, "initialization", log, a.out)
     return log
@@ -158,10 +175,15 @@ def compute_utilities(spark: SparkSession, a: argparse.Namespace, budget: float)
 def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     a = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tilewright").getOrCreate()
-    budget = math.inf if math.isinf(a.catBudget) else budget_for(a.catBudget, STATE_BYTES)
+    budget = math.inf if math.isinf(a.catBudget) else budget_for(a.catBudget, state_bytes(spark, a))
     if a.command in tables.PRESETS:
         tables.write_csv(tables.preset(spark, a.command, a.rows, a.seed), a.out)
         return a.out
+    if a.command == "findDomains":
+        spec = _spec(a)
+        sizes = tables.domain_sizes(tables.read_csv(spark, a.csv, spec), list(spec.cats), a.sample).first().asDict()
+        print(json.dumps(sizes))
+        return sizes
     if a.command == "findBounds":
         spec = _spec(a)
         r = tables.bounds(tables.read_csv(spark, a.csv, spec), spec.x, spec.y).first()

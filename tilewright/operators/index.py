@@ -17,11 +17,15 @@ from ..functions.columns import has_values, in_window
 from ..plans.catalog import Layout, Tile, layout_for, quarters, splittable, with_attrs
 from ..plans.policies import Attr, Interest, Planner, policy
 from ..plans.spec import DatasetSpec, IndexConfig, Rectangle, WindowQuery
-from ..sources.storage import written
+from ..sources.storage import delete, stored_bytes, written
 from . import grid, stats
 from .direct import Answer, with_measure
 
 
+#: Tiles that a scan gets as a list.
+LISTED = 1_000
+
+
 @dataclass
 class Plan:
     """Tiles whose states answer, tiles that are scanned, and the window's counters."""
@@ -52,6 +56,8 @@ class TiledIndex:
     clustered: DataFrame | None = None
     points: DataFrame | None = None
     cube: DataFrame | None = None
+    pivot: tuple[float, float] = (0.0, 0.0)
+    changes: dict = field(default_factory=lambda: {"split": 0, "expanded": 0})
     planner: Planner | None = None
 
     # --- building -----------------------------------------------------------------------
@@ -101,14 +107,19 @@ class TiledIndex:
             got = got.withColumn(c, F.when(F.array_contains("_attrs", c), F.col(c)))
         has = F.col("m0").isNotNull() & F.col("m1").isNotNull()
         m0, m1 = F.when(has, F.col("m0")), F.when(has, F.col("m1"))
-        extent = [F.count("*").alias("rows"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max")]
+        odd = F.sum((F.col("m0").isNull() != F.col("m1").isNull()).cast("int")).alias("odd")
+        extent = [F.count("*").alias("rows"), odd, F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max")]
         return got.groupBy("tile_id", *self.spec.cats).agg(*extent, *stats.state_of(m0, m1))
 
     def _measure(self, cube: DataFrame) -> None:
-        """Extents and row counts into the catalog: one row per tile of the layout at most."""
-        seen = cube.groupBy("tile_id").agg(F.sum("rows").alias("rows"), F.min("x_min"), F.max("x_max"), F.min("y_min"), F.max("y_max")).collect()
+        """Extents and counts into the catalog, and the table's means as pivot: one row per tile of the layout at most."""
+        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean0")).alias("s0"), F.sum(F.col("n") * F.col("mean1")).alias("s1")]
+        seen = cube.groupBy("tile_id").agg(F.sum("rows").alias("rows"), F.min("x_min"), F.max("x_max"), F.min("y_min"), F.max("y_max"), F.sum("odd"), *sums).collect()
         for r in seen:
-            self.tiles[r[0]] = replace(self.tiles[r[0]], rows=r[1], extent=(r[2], r[3], r[4], r[5]))
+            self.tiles[r[0]] = replace(self.tiles[r[0]], rows=r[1], extent=(r[2], r[3], r[4], r[5]), odd=r[6])
+        n = sum(r["n"] for r in seen)
+        means = [sum(r[c] for r in seen if r["n"]) / n if n else 0.0 for c in ("s0", "s1")]
+        self.pivot = tuple(m if math.isfinite(m) else 0.0 for m in means)
 
     # --- answering ----------------------------------------------------------------------
 
@@ -118,7 +129,7 @@ class TiledIndex:
     def plan(self, query: WindowQuery) -> Plan:
         query.validate(self.spec)
         plan = Plan([], [])
-        states_know = query.measure is None or len(self.spec.measures) == 1
+        pair = query.measure is None or len(self.spec.measures) == 1  # else states of tiles where each row has both measures or none
         for t in self.overlapping(query.rect):
             plan.overlapped += 1
             inside = t.contained(query.rect)
@@ -126,14 +137,18 @@ class TiledIndex:
             missing = tuple(c for c in self.spec.cats if c in query.attributes and c not in t.attrs)
             if inside and missing:
                 plan.unknown[t.id] = missing
-            (plan.states if inside and not missing and states_know else plan.scans).append(t)
+            (plan.states if inside and not missing and (pair or not t.odd) else plan.scans).append(t)
         return plan
 
     def _within(self, df: DataFrame, tiles: list[Tile], rows: bool) -> DataFrame:
-        """Rows of some tiles: partition pruning by grid row, then a broadcast join with the (bounded) list."""
-        ids = df.sparkSession.createDataFrame([(t.id,) for t in tiles], "tile_id string")
+        """Rows of some tiles: partition pruning by grid row; a few tiles as a list that the scan gets, more by a broadcast join (the layout bounds them)."""
+        if not tiles:
+            return df.where(F.lit(False))
         if rows:
             df = df.where(F.col("tile_row").isin(sorted({int(t.id.split(".")[0]) for t in tiles})))
+        if len(tiles) <= LISTED:
+            return df.where(F.col("tile_id").isin([t.id for t in tiles]))
+        ids = df.sparkSession.createDataFrame([(t.id,) for t in tiles], "tile_id string")
         return df.join(F.broadcast(ids), "tile_id", "left_semi")
 
     def answer(self, query: WindowQuery, q0: WindowQuery | None = None) -> Answer:
@@ -146,9 +161,9 @@ class TiledIndex:
         scanned, _ = with_measure(self._within(self.points, plan.scans, True).where(wanted), self.spec, query)
         parts = stats.aggregate(scanned, keys).select(*keys, *stats.STATE)
         if plan.states:
-            known = self._within(self.cube, plan.states, False).where(has_values(query.filters) & (F.col("n") > 0))
-            parts = parts.unionByName(known.select(*keys, *stats.STATE))
-        merged = stats.merge(parts, keys)
+            known = self._within(self.cube, plan.states, False).where(has_values(query.filters) & (F.col("n") > 0)).select(*keys, *stats.STATE)
+            parts = parts.unionByName(known if query.measure is None else stats.of_one(known, self.spec.measures.index(query.measure)))
+        pivot = self.pivot if query.measure is None else (self.pivot[self.spec.measures.index(query.measure)], 0.0)
         points = self._within(self.points, plan.states + plan.scans, True).where(wanted).select("y", "x")
         counters = {
             "tiles": len(self.tiles),
@@ -158,7 +173,11 @@ class TiledIndex:
             "from_states": len(plan.states),
             "rows_scanned": plan.rows_scanned,
         }
-        return Answer(stats.metrics(merged, keys, two), stats.metrics(stats.merge(parts, []), [], two), points, counters)
+        return Answer(stats.metrics(stats.merge(parts, keys, pivot), keys, two), stats.metrics(stats.merge(parts, [], pivot), [], two), points, counters)
+
+    def rows_read(self, query: WindowQuery) -> int:
+        """How many points of the window an answer takes from tiles that it scans, counted."""
+        return self._within(self.points, self.plan(query).scans, True).where(in_window(query.rect)).count()
 
     # --- adapting -----------------------------------------------------------------------
 
@@ -176,7 +195,7 @@ class TiledIndex:
         changed = [tiles[q.id] for t in split for q in quarters(t)] + [tiles[k] for k in grown]
         # splits rewrite nothing: paths of split tiles are found at read time, and windows prune by x and y
         points = grid.descend(self.clustered, layout)
-        new = replace(self, layout=layout, tiles=tiles, points=points)
+        new = replace(self, layout=layout, tiles=tiles, points=points, changes={"split": len(split), "expanded": len(grown)})
         old = points.sparkSession.createDataFrame([(t.id,) for t in [*split, *[self.tiles[k] for k in grown]]], "tile_id string")
         fresh = new._states(new._within(points, changed, True), changed)
         new.cube = written(self.cube.join(F.broadcast(old), "tile_id", "left_anti").unionByName(fresh), "cube")
@@ -196,6 +215,8 @@ class TiledIndex:
             "states": self.cube.count() if self.built else 0,
             "rows": sum(t.rows for t in self.tiles.values()),
             "utility": self.total_utility,
+            "cube_bytes": stored_bytes(self.cube) if self.built else 0,
+            "points_bytes": stored_bytes(self.clustered) if self.built else 0,
         }
 
     def dump(self) -> DataFrame:
@@ -203,6 +224,19 @@ class TiledIndex:
         rows = [(t.id, t.rect.x.lo, t.rect.x.hi, t.rect.y.lo, t.rect.y.hi, list(t.attrs), t.rows) for t in self.tiles.values()]
         return self.rows.sparkSession.createDataFrame(rows, "tile_id string, x_lo float, x_hi float, y_lo float, y_hi float, attrs array<string>, rows long")
 
+    def readout(self, tile_id: str | None = None) -> DataFrame:
+        """What is kept of each tile, or of one: category values, rows, and the metrics of their states."""
+        keys = ["tile_id", *self.spec.cats]
+        kept = self.cube if tile_id is None else self.cube.where(F.col("tile_id") == tile_id)
+        return stats.metrics(kept.where("n > 0"), [*keys, "rows"], len(self.spec.measures) == 2)
+
+    def children(self, tile_id: str) -> list[Tile]:
+        """Leaves below a path."""
+        return [t for t in self.tiles.values() if t.id.startswith(f"{tile_id}/")]
+
     def close(self) -> None:
-        """Forget the tables; their files go with the shared folder."""
+        """Delete the tables' files and forget them. Values that share the points lose them too."""
+        for table in (self.clustered, self.cube):
+            if table is not None:
+                delete(table)
         self.clustered = self.points = self.cube = None

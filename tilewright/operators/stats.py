@@ -36,15 +36,20 @@ def aggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
     return used.groupBy(*keys).agg(*state_of(F.col("m0"), F.col("m1"))).where("n > 0")
 
 
-def merge(states: DataFrame, keys: list[str]) -> DataFrame:
+def merge(states: DataFrame, keys: list[str], pivot: tuple[float, float] | None = None) -> DataFrame:
     """Groups of states to one state each.
 
-    Centred sums are taken about a pivot amid the group's means, found first, so nothing cancels: with d = mean - pivot, M2 = sum m2 + sum n d^2 - (sum n d)^2 / N.
+    Centred sums are taken about a pivot, so that nothing cancels: with d = mean - pivot, M2 = sum m2 + sum n d^2 - (sum n d)^2 / N.
+    With a given pivot (means of the whole table, which an index keeps) this is one aggregate. Without, each group's pivot is the middle of its means,
+    found first and joined.
     """
     used = states.where("n > 0")
-    pivot = used.groupBy(*keys).agg(F.min("mean0").alias("p0"), F.max("mean0").alias("q0"), F.min("mean1").alias("p1"), F.max("mean1").alias("q1"))
-    pivot = pivot.select(*keys, ((F.col("p0") + F.col("q0")) / 2).alias("p0"), ((F.col("p1") + F.col("q1")) / 2).alias("p1"))
-    both = used.join(pivot, keys) if keys else used.join(F.broadcast(pivot), F.lit(True), "left")
+    if pivot is not None:
+        both = used.withColumns({"p0": F.lit(float(pivot[0])), "p1": F.lit(float(pivot[1]))})
+    else:
+        found = used.groupBy(*keys).agg(F.min("mean0").alias("p0"), F.max("mean0").alias("q0"), F.min("mean1").alias("p1"), F.max("mean1").alias("q1"))
+        found = found.select(*keys, ((F.col("p0") + F.col("q0")) / 2).alias("p0"), ((F.col("p1") + F.col("q1")) / 2).alias("p1"))
+        both = used.join(found, keys) if keys else used.join(F.broadcast(found), F.lit(True), "left")
     n, d0, d1 = F.col("n"), F.col("mean0") - F.col("p0"), F.col("mean1") - F.col("p1")
     sums = both.groupBy(*keys).agg(
         F.sum(n).alias("n"),
@@ -73,6 +78,13 @@ def merge(states: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def of_one(states: DataFrame, i: int) -> DataFrame:
+    """States of two measures to states of one: right where no row has but one of them."""
+    if i:
+        states = states.withColumns({"mean0": F.col("mean1"), "m2_0": F.col("m2_1"), "min0": F.col("min1"), "max0": F.col("max1")})
+    return states.withColumns(dict.fromkeys(("mean1", "m2_1", "min1", "max1", "c01"), F.lit(0.0)))
+
+
 def metrics(states: DataFrame, keys: list[str], two: bool = True) -> DataFrame:
     """What a state says: counts, sums, means, extrema, variances, and of both: covariance, correlation, fit."""
     n = F.col("n")

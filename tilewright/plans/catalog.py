@@ -25,6 +25,7 @@ class Tile:
     attrs: tuple[str, ...] = ()
     extent: tuple[float, float, float, float] | None = None  # least x, greatest x, least y, greatest y
     rows: int = 0
+    odd: int = 0  # rows with one of two measures
 
     def overlaps(self, rect: Rectangle) -> bool:
         if self.extent is None:

@@ -168,27 +168,28 @@ def equal_range(p: Planner, tiles: list[Tile], budget: float) -> Assignment:
 
 
 def naive(p: Planner, tiles: list[Tile], budget: float) -> Assignment:
-    """The full set for the densest tiles, until one cannot be paid."""
+    """The full set, by score, for the densest tiles, until one cannot be paid."""
     chosen: Assignment = {}
     for t in p.densest(tiles):
-        attrs = p.ordered(p.attrs)
-        budget -= p.cost(t, attrs)
+        budget -= p.cost(t, p.by_score)
         if budget < 0:
             break
-        chosen[t.id] = _names(attrs)
+        chosen[t.id] = _names(p.by_score)
     return chosen
 
 
 def random_sets(p: Planner, tiles: list[Tile], budget: float) -> Assignment:
-    """Seeded random sets of random size for the densest tiles."""
+    """Seeded random sets of one or more for the densest tiles; what cannot be paid is passed over. Costs are of the drawn order,
+    the tile keeps the set in the planner's."""
     rng, chosen = random.Random(p.seed), {}
-    for t in p.densest(tiles):
-        attrs = rng.sample(p.attrs, rng.randint(0, len(p.attrs)))
-        cost = p.cost(t, attrs)
-        if cost > budget:
+    for t in p.densest(tiles) if p.attrs else ():
+        if budget <= 0:
             break
-        budget -= cost
-        chosen[t.id] = _names(attrs)
+        attrs = rng.sample(p.attrs, rng.randint(1, len(p.attrs)))
+        cost = p.cost(t, attrs)
+        if cost <= budget:
+            budget -= cost
+            chosen[t.id] = _names(p.ordered(attrs))
     return chosen
 
 

@@ -155,6 +155,19 @@ def _ordered_points(spark: SparkSession, d: str) -> DataFrame:
     return direct.prepare(df, L, row_id="row").where(in_window(NEAR.rect)).select("row_id", "y", "x").orderBy("row_id")
 
 
+_NARROW = Rectangle.of(21000, 50000, 12, 25)
+_register("window_beyond_bounds", _sql(f"(SELECT * FROM {_L} WHERE {_window(_NARROW)})", replace(FLAGSHIP, filters={}), True))(
+    lambda spark, d: rounded(direct.answer(lineitem(spark, d, replace(L, bounds=_NARROW)), L, replace(FLAGSHIP, filters={})).groups)
+)
+
+
+@_register("missing_measure", _sql(_L.replace("l_discount AS m0", "nullif(l_discount, 0.05) AS m0").replace("l_tax AS m1", "nullif(l_tax, 0.02) AS m1"), FLAGSHIP, True))
+def _missing_measure(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that lack a measure are points and take no part in paired statistics."""
+    df = spark.read.parquet(f"{d}/lineitem.parquet").withColumns({"l_discount": F.nullif("l_discount", F.lit(0.05)), "l_tax": F.nullif("l_tax", F.lit(0.02))})
+    return rounded(direct.answer(direct.prepare(df, L), L, FLAGSHIP).groups)
+
+
 _NA = WindowQuery(FLAGSHIP.rect, {"l_returnflag": MISSING}, ("l_linestatus",))
 
 
@@ -177,6 +190,9 @@ _register("dataset_bounds", "SELECT min(l_extendedprice::FLOAT) AS x_min, max(l_
 _register("domain_sizes", "SELECT " + ", ".join(f"count(DISTINCT coalesce({c}::VARCHAR, 'N/A')) AS {c}" for c in L.cats) + " FROM lineitem")(
     lambda spark, d: tables.domain_sizes(spark.read.parquet(f"{d}/lineitem.parquet"), list(L.cats))
 )
+_register("domain_sizes_sampled", "SELECT " + ", ".join(f"count(DISTINCT coalesce({c}::VARCHAR, 'N/A')) AS {c}" for c in L.cats) + " FROM (SELECT * FROM lineitem LIMIT 2000)")(
+    lambda spark, d: tables.domain_sizes(spark.read.parquet(f"{d}/lineitem.parquet"), list(L.cats), 2000)
+)
 _register(
     "dictionary_encode",
     "SELECT value, row_number() OVER (ORDER BY f, value) - 1 AS code FROM (SELECT coalesce(event_type, 'N/A') AS value, min(event_id) AS f FROM events GROUP BY 1)",
@@ -311,6 +327,9 @@ _FLAG_SQL = _sql(_L, FLAGSHIP, True)
 for _name in ("valinor", "greedy", "optimized", "binn", "equal_range", "naive", "random", "full"):
     _register(f"indexed_answer_{_name}", _FLAG_SQL)(lambda spark, d, name=_name: rounded(_index(spark, d, name).answer(FLAGSHIP).groups))
 
+_ONE = replace(FLAGSHIP, measure="l_tax")
+_register("indexed_one_of_two_measures", _sql(_L1.replace("l_discount AS m0", "l_tax AS m0"), _ONE, False))(lambda spark, d: rounded(_index(spark, d, "full").answer(_ONE).groups))
+
 _MORE = replace(FLAGSHIP, filters={"l_linenumber": "2"}, group_by=("l_returnflag", "l_linestatus"))
 _CORNER = replace(FLAGSHIP, rect=Rectangle.of(21000, 58000, 11.5, 29.5))
 
@@ -372,3 +391,50 @@ def _utilities(spark: SparkSession, d: str) -> DataFrame:
     p = base.planner
     rows = [(t.id, p.interest.probability(t.rect), p.interest.density(t.rect), p.expected_rows(t), p.cost(t, p.by_score), p.utility(t, p.by_score)) for t in base.tiles.values()]
     return spark.createDataFrame(rows, "tile_id string, probability double, density double, expected_rows long, cost long, utility double")
+
+
+@_register("exhaustive_assignment")
+def _exhaustive(spark: SparkSession, d: str) -> DataFrame:
+    """The best assignment over a layout of four tiles, trying all."""
+    base = TiledIndex(lineitem(spark, d), L, IndexConfig(grid=2, subtile_ratio=0.0), "valinor")
+    leaves = base.plan_layout(FLAGSHIP)
+    found = policies.policy("exhaustive")(base.planner, leaves, 60)
+    return spark.createDataFrame([(t.id, ",".join(found.get(t.id, ()))) for t in leaves], "tile_id string, attrs string")
+
+
+def _costs_sql() -> str:
+    """States of each tile by the order of scores: status (filtered, 2 values), flag (grouped, 3), number (7)."""
+    xs, ys = cut(BOUNDS_L.x, 20), cut(BOUNDS_L.y, 20)
+    sides = ", ".join(f"('{r}.{c}', {xs[c].size!r}::DOUBLE * {ys[r].size!r}::DOUBLE)" for r in range(20) for c in range(20))
+    whole = f"({BOUNDS_L.x.size!r}::DOUBLE * {BOUNDS_L.y.size!r}::DOUBLE)"
+    return (
+        f"WITH tiles(tile_id, area) AS (VALUES {sides}), n AS (SELECT count(*) AS total FROM {_L}), r AS (SELECT tile_id, ceil(total * area / {whole})::BIGINT AS expected_rows FROM tiles, n), "
+        "a AS (SELECT *, least(expected_rows, 2) AS one FROM r), b AS (SELECT *, one + least(expected_rows, 3 * one) AS two FROM a) "
+        "SELECT tile_id, expected_rows, (two + least(expected_rows, 7 * two))::BIGINT AS cost FROM b"
+    )
+
+
+@_register("planner_costs", _costs_sql())
+def _costs(spark: SparkSession, d: str) -> DataFrame:
+    base = TiledIndex(lineitem(spark, d), L, CONFIG, "valinor")
+    base.plan_layout(FLAGSHIP)
+    p = base.planner
+    return spark.createDataFrame([(t.id, p.expected_rows(t), p.cost(t, p.by_score)) for t in base.tiles.values()], "tile_id string, expected_rows long, cost long")
+
+
+def _naive_sql() -> str:
+    """Tiles by density (a fixed order of the layout), as long as the sum of costs is within the budget."""
+    interest = policies.Interest(FLAGSHIP, CONFIG)
+    line = sorted(_PLAIN.tiles(), key=lambda t: -interest.density(t.rect))
+    order = ", ".join(f"('{t.id}', {i})" for i, t in enumerate(line))
+    return (
+        f"WITH costs AS ({_costs_sql()}), line(tile_id, place) AS (VALUES {order}), s AS (SELECT tile_id, sum(cost) OVER (ORDER BY place) AS spent FROM costs JOIN line USING (tile_id)) "
+        "SELECT tile_id, 'l_linestatus,l_returnflag,l_linenumber' AS attrs FROM s WHERE spent <= 4000"
+    )
+
+
+@_register("naive_assignment", _naive_sql())
+def _naive(spark: SparkSession, d: str) -> DataFrame:
+    base = TiledIndex(lineitem(spark, d), L, CONFIG, "valinor")
+    leaves = base.plan_layout(FLAGSHIP)
+    return spark.createDataFrame([(t, ",".join(a)) for t, a in policies.policy("naive")(base.planner, leaves, 4000).items()], "tile_id string, attrs string")

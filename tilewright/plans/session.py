@@ -13,6 +13,8 @@ STEPS = {"N": (0, 1), "S": (0, -1), "E": (1, 0), "W": (-1, 0), "NE": (1, 1), "NW
 #: Relative weights of directions, by the kind of session.
 DIRECTION_WEIGHTS = {
     "synth": {d: 1.0 if d in ("N", "W", "NW") else 0.5 for d in STEPS},
+    "taxi": {d: 1.0 if d in ("N", "E", "NE") else 0.5 for d in STEPS},
+    "network": {d: 2.0 if d in ("W", "SW") else 0.5 for d in STEPS},
     "even": dict.fromkeys(STEPS, 1.0),
 }
 

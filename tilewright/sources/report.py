@@ -9,9 +9,9 @@ SCHEMAS = {
     "queries": [
         *_RUN,
         *[("session", "int"), ("query_no", "int"), ("query", "string"), ("utility", "double"), ("states", "long"), ("leaf_tiles", "long")],
-        *[("overlapped_tiles", "long"), ("contained_tiles", "long"), ("expanded_nodes", "long"), ("rows_scanned", "long"), ("seconds", "double"), ("result", "string")],
+        *[("overlapped_tiles", "long"), ("contained_tiles", "long"), ("expanded_nodes", "long"), ("rows_scanned", "long"), ("rows_read", "long"), ("split_tiles", "long"), ("seconds", "double"), ("result", "string")],
     ],
-    "initialization": [*_RUN, ("sort", "string"), ("seconds", "double"), ("utility", "double"), ("leaf_tiles", "long"), ("states", "long")],
+    "initialization": [*_RUN, ("sort", "string"), ("seconds", "double"), ("utility", "double"), ("leaf_tiles", "long"), ("states", "long"), ("cube_bytes", "long"), ("points_bytes", "long")],
     "assignment": [*_RUN, ("grid", "int"), ("cardinality", "int"), ("seconds", "double"), ("utility", "double"), ("leaf_tiles", "long")],
     "utility": [*_RUN, ("utility", "double"), ("leaf_tiles", "long")],
 }
