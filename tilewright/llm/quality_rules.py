@@ -5,7 +5,7 @@ minimum-covariance-determinant estimate of its centre and scatter is found by C-
 the smallest Mahalanobis distances, re-estimate, repeat until the half no longer changes. There are 25 starts: medians with median deviations,
 and 24 seeded sets of six documents; the least determinant wins. Documents are dealt to pieces of about 2,000 by a hash of their id, and
 a group of one piece is estimated in one go. For larger groups the two best pieces' estimates go on with C-steps over all documents
-of the group, each step two grouped aggregates, until their determinants stand still: no task holds more than a piece. A document whose squared distance
+of the group, each step two grouped aggregates, until no determinant moves by a hundredth (ten steps at most): no task holds more than a piece. A document whose squared distance
 exceeds the cut-off is rejected.
 
 Every group of more than six documents has its own estimate; the others of a language are one group together. An estimate of n documents is
@@ -45,6 +45,8 @@ STATISTICS = {
 CUTOFF = 49.0
 #: Documents of a piece, random starts, most C-steps, and the documents that a parent's estimate counts for.
 PIECE, STARTS, STEPS, PRIOR = 2_000, 24, 30, 30
+#: Steps over whole large groups, which begin near their end: at most so many, and until no determinant moves by more than this share.
+WHOLE_STEPS, STILL = 10, 0.01
 #: The scatter of the nearest half of five Gaussian statistics times this is their scatter: 0.5 / P(chi2_7 <= median of chi2_5).
 CONSISTENCY = 1.913
 #: Distances are ranked in classes, 64 to a factor of e.
@@ -192,7 +194,7 @@ def _whole_groups(rows: DataFrame, starts: DataFrame) -> DataFrame:
     keep = ["g", "start", "n", "centre", "scatter"]
     schema = ", ".join(x for x in _ESTIMATE.split(", ") if not x.startswith("score")) + ", inverse array<double>, score double"
     model = materialize(starts.select(*keep).mapInArrow(_inverted(keep), schema), "mcd_start")
-    for step in range(STEPS):
+    for step in range(WHOLE_STEPS):
         near = rows.join(small(model.select("g", "start", "n", "centre", "inverse")), "g")
         near = near.withColumn("class", F.floor(F.ln(F.greatest(_distance(), F.lit(1e-12))) * CLASSES))
         seen = near.groupBy("g", "start", "n", "class").agg(F.count("*").alias("rows"))
@@ -204,7 +206,7 @@ def _whole_groups(rows: DataFrame, starts: DataFrame) -> DataFrame:
         was = model.select("g", "start", F.col("score").alias("was"))
         moved = after.join(was, ["g", "start"]).agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
         model = after
-        if moved is None or moved < 1e-3:
+        if moved is None or moved < STILL:
             break
     best = model.groupBy("g").agg(F.min(F.struct("score", "start", "n", "centre", "scatter")).alias("b"))
     return best.select("g", F.col("b.start").alias("start"), F.col("b.n").alias("n"), F.col("b.centre").alias("centre"), F.col("b.scatter").alias("scatter"), F.col("b.score").alias("score"))
