@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,25 @@ from . import stats
 
 @dataclass
 class Answer:
-    """Lazy frames: group metrics, the window's total, the points (y, x); and counters."""
+    """Lazy frames, each planned when it is first asked for: group metrics, the window's total, the points (y, x); and counters."""
 
-    groups: DataFrame
-    total: DataFrame
-    points: DataFrame
+    of_groups: Callable[[], DataFrame]
+    of_total: Callable[[], DataFrame]
+    of_points: Callable[[], DataFrame]
     metrics: dict = field(default_factory=dict)
 
+    @cached_property
+    def groups(self) -> DataFrame:
+        return self.of_groups()
+
+    @cached_property
+    def total(self) -> DataFrame:
+        return self.of_total()
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return self.of_points()
+
 
 def prepare(df: DataFrame, spec: DatasetSpec, row_id: str | None = None, precision: str = "double") -> DataFrame:
     """Roles to fixed columns: x and y FLOAT, categories with `N/A`, m0 and m1, maybe row_id.
@@ -63,9 +76,9 @@ def answer(rows: DataFrame, spec: DatasetSpec, query: WindowQuery) -> Answer:
     measured, two = with_measure(found, spec, query)
     keys = list(query.group_by)
     return Answer(
-        stats.metrics(stats.aggregate(measured, keys), keys, two),
-        stats.metrics(stats.aggregate(measured, []), [], two),
-        found.select("y", "x"),
+        lambda: stats.metrics(stats.aggregate(measured, keys), keys, two),
+        lambda: stats.metrics(stats.aggregate(measured, []), [], two),
+        lambda: found.select("y", "x"),
     )
 
 

@@ -145,9 +145,9 @@ class TiledIndex:
         if not tiles:
             return df.where(F.lit(False))
         if rows:
-            df = df.where(F.col("tile_row").isin(sorted({int(t.id.split(".")[0]) for t in tiles})))
+            df = df.where(f"tile_row in ({', '.join(str(r) for r in sorted({int(t.id.split('.')[0]) for t in tiles}))})")
         if len(tiles) <= LISTED:
-            return df.where(F.col("tile_id").isin([t.id for t in tiles]))
+            return df.where("tile_id in (" + ", ".join(f"'{t.id}'" for t in tiles) + ")")
         ids = df.sparkSession.createDataFrame([(t.id,) for t in tiles], "tile_id string")
         return df.join(F.broadcast(ids), "tile_id", "left_semi")
 
@@ -159,12 +159,13 @@ class TiledIndex:
         two = len(self.spec.measures) == 2 and query.measure is None
         wanted = in_window(query.rect) & has_values(query.filters)
         scanned, _ = with_measure(self._within(self.points, plan.scans, True).where(wanted), self.spec, query)
-        parts = stats.aggregate(scanned, keys).select(*keys, *stats.STATE)
+        parts = stats.of_rows(scanned, keys) if plan.scans or not plan.states else None
         if plan.states:
             known = self._within(self.cube, plan.states, False).where(has_values(query.filters) & (F.col("n") > 0)).select(*keys, *stats.STATE)
-            parts = parts.unionByName(known if query.measure is None else stats.of_one(known, self.spec.measures.index(query.measure)))
+            known = known if query.measure is None else stats.of_one(known, self.spec.measures.index(query.measure))
+            parts = known if parts is None else parts.unionByName(known)
         pivot = self.pivot if query.measure is None else (self.pivot[self.spec.measures.index(query.measure)], 0.0)
-        points = self._within(self.points, plan.states + plan.scans, True).where(wanted).select("y", "x")
+        points = lambda: self._within(self.points, plan.states + plan.scans, True).where(wanted).select("y", "x")
         counters = {
             "tiles": len(self.tiles),
             "overlapped": plan.overlapped,
@@ -173,7 +174,7 @@ class TiledIndex:
             "from_states": len(plan.states),
             "rows_scanned": plan.rows_scanned,
         }
-        return Answer(stats.metrics(stats.merge(parts, keys, pivot), keys, two), stats.metrics(stats.merge(parts, [], pivot), [], two), points, counters)
+        return Answer(lambda: stats.metrics(stats.merge(parts, keys, pivot), keys, two), lambda: stats.metrics(stats.merge(parts, [], pivot), [], two), points, counters)
 
     def rows_read(self, query: WindowQuery) -> int:
         """How many points of the window an answer takes from tiles that it scans, counted."""

@@ -78,6 +78,13 @@ def merge(states: DataFrame, keys: list[str], pivot: tuple[float, float] | None
     )
 
 
+def of_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with both measures as a state of its own: merging takes rows and states in one aggregate."""
+    zero = F.lit(0.0)
+    per = [x for i in (0, 1) for m in [F.col(f"m{i}")] for x in (m.alias(f"mean{i}"), zero.alias(f"m2_{i}"), m.alias(f"min{i}"), m.alias(f"max{i}"))]
+    return rows.where(F.col("m0").isNotNull() & F.col("m1").isNotNull()).select(*keys, F.lit(1).cast("long").alias("n"), *per, zero.alias("c01"))
+
+
 def of_one(states: DataFrame, i: int) -> DataFrame:
     """States of two measures to states of one: right where no row has but one of them."""
     if i:
