@@ -237,7 +237,9 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows, with all their columns, that come first in their class; one of each class, and all without shingles."""
     rows = materialize(_labelled(documents, id_col, text_col).where("n > 0").select("id", "tid", "class"), "classes")
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "tid")).alias("first"))
-    later = rows.join(first, "class").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tid") == F.col("first.tid"))))
+    first = first.select(F.col("first.id").alias("first_id"), F.col("first.tid").alias("first_tid"))
+    # an id and a text have one class, so rows meet their class's first by these: a large class is no key of the join
+    later = rows.join(first, rows["id"].eqNullSafe(first["first_id"]) & (rows["tid"] == first["first_tid"]), "left_anti")
     kept = without(documents, materialize(later.select("id", "tid").distinct(), "near_duplicates"), id_col, text_col)
     again = materialize(rows.groupBy("id", "tid").count().where("count > 1").select("id", "tid"), "repeated_rows")
     if again.isEmpty():
