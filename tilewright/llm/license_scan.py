@@ -136,13 +136,16 @@ def matches(documents: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     met = met.where(F.bit_count("bits") / F.greatest("n_pairs", F.lit(1)) >= F.when(F.col("n_pairs") > 0, containment).otherwise(0.0))
     near = materialize(met.select("id", "tid", "license", "places"), "license_candidates")
 
-    texts = only(docs, near.select("id", "tid").distinct(), "id", "text").select(F.col("id").alias("text_id"), F.col("tid").alias("text_tid"), words("text").alias("words"))
+    # texts travel as they are, once for all their candidates, and are cut into words after the join
+    texts = only(docs, near.select("id", "tid").distinct(), "id", "text").select(F.col("id").alias("text_id"), F.col("tid").alias("text_tid"), "text")
+    hits = near.groupBy("id", "tid").agg(F.collect_list(F.struct("license", "places")).alias("hits"))
+    cut = hits.join(texts, F.col("id").eqNullSafe(F.col("text_id")) & (F.col("tid") == F.col("text_tid"))).select("id", "tid", "hits", words("text").alias("words"))
     shapes = forms.select("license", "pairs", F.size("tokens").alias("n"))
     if apart:
         shapes = materialize(shapes.join(_telling(forms, containment), "license", "left"), "template_pairs")
     else:
         shapes = shapes.withColumn("telling", F.lit(None).cast("array<string>"))
-    both = near.join(small(shapes), "license").join(texts, F.col("id").eqNullSafe(F.col("text_id")) & (F.col("tid") == F.col("text_tid")))
+    both = cut.select("id", "tid", "words", F.inline("hits")).join(small(shapes), "license")
     local = F.transform("places", lambda at: _pairs(F.slice("words", F.greatest(F.lit(1), at - F.col("n")), F.lit(WINDOW) + 2 * F.col("n"))))
     if apart:
         local = F.filter(local, lambda x: F.col("telling").isNull() | (F.size(F.array_except("telling", x)) == 0))
