@@ -5,7 +5,7 @@ minimum-covariance-determinant estimate of its centre and scatter is found by C-
 the smallest Mahalanobis distances, re-estimate, repeat until the half no longer changes. There are 25 starts: medians with median deviations,
 and 24 seeded sets of six documents; the least determinant wins. Documents are dealt to pieces of about 2,000 by a hash of their id, and
 a group of one piece is estimated in one go. For larger groups the two best pieces' estimates go on with C-steps over all documents
-of the group, each step two grouped aggregates, until no determinant moves by a hundredth (ten steps at most): no task holds more than a piece. A document whose squared distance
+of the group, each step one pass over packs of vectors that leaves sums by class of distance, until no determinant moves by a hundredth (ten steps at most): no task holds more than a piece. A document whose squared distance
 exceeds the cut-off is rejected.
 
 Every group of more than six documents has its own estimate; the others of a language are one group together. An estimate of n documents is
@@ -49,8 +49,8 @@ PIECE, STARTS, STEPS, PRIOR = 2_000, 24, 30, 30
 WHOLE_STEPS, STILL = 10, 0.01
 #: The scatter of the nearest half of five Gaussian statistics times this is their scatter: 0.5 / P(chi2_7 <= median of chi2_5).
 CONSISTENCY = 1.913
-#: Distances are ranked in classes, 64 to a factor of e.
-CLASSES = 64
+#: Distances are ranked in classes, 64 to a factor of e. Rows of large groups are stored in packs of so many.
+CLASSES, PACK = 64, 128
 
 
 def _statistics(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -109,9 +109,9 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 _NAMES = list(STATISTICS)
-_PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[i:]]
 _P, _FLOOR = len(_NAMES), np.array([f for _, f in STATISTICS.values()])
 _UPPER = np.triu_indices(_P)
+_MOMENTS = [f"m{i}" for i in range(_P + len(_UPPER[0]))]
 _GROUP = "struct<lang:string,source:string,rest:boolean>"
 _ESTIMATE = f"g {_GROUP}, start int, n long, centre array<double>, scatter array<double>, score double"
 
@@ -151,15 +151,36 @@ def mcd(x: np.ndarray, starts: int = STARTS, steps: int = STEPS) -> tuple[np.nda
 
 
 def _piece(table: pa.Table) -> pa.Table:
-    """The estimate of one piece of a group, if it has enough rows."""
-    x = np.stack([table.column(c).to_numpy() for c in _NAMES], axis=1) / _FLOOR
+    """The estimate of one piece of a group, if it has enough rows; of a group of several pieces also its rows, in packs."""
+    x = np.stack([table.column(c).to_numpy() for c in _NAMES], axis=1)
+    g, start = table.column("g")[0].as_py(), table.column("piece")[0].as_py()
     rows = []
     if len(x) > _P + 1:
-        centre, scatter, score = mcd(x)
-        rows = [(table.column("g")[0].as_py(), table.column("piece")[0].as_py(), len(x), (centre * _FLOOR).tolist(), (scatter * np.outer(_FLOOR, _FLOOR))[_UPPER].tolist(), score)]
+        centre, scatter, score = mcd(x / _FLOOR)
+        rows.append((g, start, len(x), (centre * _FLOOR).tolist(), (scatter * np.outer(_FLOOR, _FLOOR))[_UPPER].tolist(), score, None))
+    if table.column("pieces")[0].as_py() > 1:
+        rows += [(g, start, None, None, None, None, x[i : i + PACK].ravel()) for i in range(0, len(x), PACK)]
     kind = pa.struct([("lang", pa.string()), ("source", pa.string()), ("rest", pa.bool_())])
-    types = [kind, pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["g", "start", "n", "centre", "scatter", "score"])
+    vector = pa.list_(pa.float64())
+    types = [kind, pa.int32(), pa.int64(), vector, vector, pa.float64(), vector]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["g", "start", "n", "centre", "scatter", "score", "vectors"])
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs with an estimate to counts and moments about its centre: one row for each class of distances in a batch."""
+    for batch in batches:
+        alike: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(batch.column("g").to_pylist(), batch.column("start").to_pylist())):
+            alike.setdefault((*key[0].values(), key[1]), []).append(i)
+        for places in alike.values():
+            one = batch.take(pa.array(places))
+            centre, inverse = (np.array(one.column(c)[0].as_py()) for c in ("centre", "inverse"))
+            away = one.column("vectors").flatten().to_numpy().reshape(-1, _P) - centre
+            distance = ((away @ inverse.reshape(_P, _P)) * away).sum(axis=1)
+            classes, at, rows = np.unique(np.floor(np.log(np.maximum(distance, 1e-12)) * CLASSES).astype(np.int64), return_inverse=True, return_counts=True)
+            sums = [np.bincount(at, away[:, i]) for i in range(_P)] + [np.bincount(at, away[:, i] * away[:, j]) for i, j in zip(*_UPPER)]
+            same = [pa.array([one.column(c)[0].as_py()] * len(rows), one.schema.field(c).type) for c in ("g", "start", "n")]
+            yield pa.RecordBatch.from_arrays([*same, *map(pa.array, (classes, rows, *sums))], ["g", "start", "n", "class", "rows", *_MOMENTS])
 
 
 def _inverted(keep: list[str]):
@@ -189,19 +210,23 @@ def _distance() -> F.Column:
     return F.expr(" + ".join(terms))
 
 
-def _whole_groups(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """C-steps over all `rows` (g, statistics) of large groups from `starts` (g, start, n, centre, scatter, score): the best of each group."""
+def _whole_groups(packs: DataFrame, starts: DataFrame) -> DataFrame:
+    """C-steps over all `packs` (g, vectors) of large groups from `starts` (g, start, n, centre, scatter, score): the best of each group."""
     keep = ["g", "start", "n", "centre", "scatter"]
     schema = ", ".join(x for x in _ESTIMATE.split(", ") if not x.startswith("score")) + ", inverse array<double>, score double"
+    sums = f"g {_GROUP}, start int, n long, class long, rows long, " + ", ".join(f"{m} double" for m in _MOMENTS)
     model = materialize(starts.select(*keep).mapInArrow(_inverted(keep), schema), "mcd_start")
+    mean = [F.sum(m) / F.sum("rows") for m in _MOMENTS]
+    places = list(zip(*_UPPER))
     for step in range(WHOLE_STEPS):
-        near = rows.join(small(model.select("g", "start", "n", "centre", "inverse")), "g")
-        near = near.withColumn("class", F.floor(F.ln(F.greatest(_distance(), F.lit(1e-12))) * CLASSES))
-        seen = near.groupBy("g", "start", "n", "class").agg(F.count("*").alias("rows"))
-        seen = seen.withColumn("upto", F.sum("rows").over(W.partitionBy("g", "start").orderBy("class")))
-        half = materialize(seen.where(F.col("upto") >= F.floor((F.col("n") + _P + 1) / 2)).groupBy("g", "start").agg(F.min("class").alias("last")), f"mcd_half_{step}")
-        kept = near.join(small(half), ["g", "start"]).where("class <= last")
-        moments = kept.groupBy("g", "start").agg(F.first("n").alias("n"), F.array(*[F.avg(c) for c in _NAMES]).alias("centre"), F.array(*[F.covar_pop(a, b) * CONSISTENCY for a, b in _PAIRS]).alias("scatter"))
+        near = packs.join(small(model.select("g", "start", "n", "centre", "inverse")), "g")
+        seen = near.mapInArrow(_classes, sums).groupBy("g", "start", "n", "class").agg(*[F.sum(c).alias(c) for c in ("rows", *_MOMENTS)])
+        seen = seen.withColumn("before", F.sum("rows").over(W.partitionBy("g", "start").orderBy("class")) - F.col("rows"))
+        half = seen.where(F.col("before") < F.floor((F.col("n") + _P + 1) / 2))
+        scatter = [(mean[_P + k] - mean[i] * mean[j]) * CONSISTENCY for k, (i, j) in enumerate(places)]
+        moments = half.groupBy("g", "start").agg(F.first("n").alias("n"), F.array(*mean[:_P]).alias("away"), F.array(*scatter).alias("scatter"))
+        moments = moments.join(model.select("g", "start", F.col("centre").alias("old")), ["g", "start"])
+        moments = moments.select("g", "start", "n", F.zip_with("old", "away", lambda a, b: a + b).alias("centre"), "scatter")
         after = materialize(moments.mapInArrow(_inverted(keep), schema), f"mcd_{step}")
         was = model.select("g", "start", F.col("score").alias("was"))
         moved = after.join(was, ["g", "start"]).agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
@@ -242,7 +267,8 @@ def estimates(rows: DataFrame, id_col: str = "doc_id", piece: int = PIECE) -> Da
     placed = base.select("lang", "source", F.xxhash64(salt).alias("salt"), *_NAMES)
     placed = placed.join(small(groups), placed["lang"].eqNullSafe(F.col("g_lang")) & placed["source"].eqNullSafe(F.col("g_source")))
     placed = materialize(placed.select("g", "total", "pieces", F.pmod("salt", "pieces").cast("int").alias("piece"), *_NAMES), "pieces")
-    found = materialize(placed.drop("total", "pieces").groupBy("g", "piece").applyInArrow(_piece, _ESTIMATE), "piece_estimates")
+    found = materialize(placed.drop("total").groupBy("g", "piece").applyInArrow(_piece, f"{_ESTIMATE}, vectors array<double>"), "piece_estimates")
+    packs, found = found.where("vectors is not null").select("g", "vectors"), found.where("centre is not null").drop("vectors")
     sizes = groups.select("g", "total", "pieces").distinct()
     found = found.join(sizes, "g").withColumn("n", F.col("total"))
     names = ["g", "start", "n", "centre", "scatter", "score"]
@@ -250,7 +276,7 @@ def estimates(rows: DataFrame, id_col: str = "doc_id", piece: int = PIECE) -> Da
     rank = F.row_number().over(W.partitionBy("g").orderBy("score", "start"))
     two = materialize(found.where("pieces > 1").withColumn("rank", rank).where("rank <= 2").select(*names), "group_starts")
     if not two.isEmpty():
-        one = one.unionByName(_whole_groups(placed.where("pieces > 1").select("g", *_NAMES), two))
+        one = one.unionByName(_whole_groups(packs, two))
     one = materialize(one.select("g", "n", "centre", "scatter"), "group_estimates")
 
     langs = materialize(_pooled(one.withColumn("lang", F.col("g.lang")), "lang"), "language_estimates")
